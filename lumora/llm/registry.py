@@ -1,10 +1,13 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
-from lumora.llm import mixing, topk
+from lumora.llm import htmltext, mixing, quality, topk, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_exact_top_k": topk.op5_exact_top_k,
+    "op8_html_extraction": htmltext.op8_html_extraction,
     "op9_source_mixing": mixing.op9_source_mixing,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE_SQL = {"op5_exact_top_k": topk.OP5_SQL}
