@@ -1,10 +1,12 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
-from lumora.llm import htmltext, mixing, quality, topk, toxicity
+from lumora.llm import htmltext, mixing, packing, pii, quality, topk, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_personal_data": pii.op4_personal_data,
     "op5_exact_top_k": topk.op5_exact_top_k,
+    "op7_packing": packing.op7_packing,
     "op8_html_extraction": htmltext.op8_html_extraction,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_quality_rules": quality.op10_quality_rules,
