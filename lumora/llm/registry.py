@@ -1,12 +1,13 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
-from lumora.llm import htmltext, lm, mixing, packing, pii, quality, topk, toxicity
+from lumora.llm import htmltext, lm, mixing, packing, pii, quality, secrets, topk, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_personal_data": pii.op4_personal_data,
     "op5_exact_top_k": topk.op5_exact_top_k,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op7_packing": packing.op7_packing,
     "op8_html_extraction": htmltext.op8_html_extraction,
     "op9_source_mixing": mixing.op9_source_mixing,
