@@ -307,7 +307,7 @@ def fit(docs: DataFrame, v: Vocabulary, held_out: int = 1, rounds: int = ROUNDS,
             x = np.stack([np.frombuffer(b, np.float32) for b in t.column("w").to_pylist()])
             return pa.table({"block": t.column("block")[:1], "w": pa.array([((n / n.sum()) @ x).astype(np.float32).tobytes()], pa.binary())})
 
-        moved = part.repartition(trainers, F.xxhash64("text")).select("text").mapInArrow(run, "block int, read double, w binary")
+        moved = part.select("text").repartition(trainers).mapInArrow(run, "block int, read double, w binary")
         got = sorted((r["block"], bytes(r["w"])) for r in moved.groupBy("block").applyInArrow(mean, "block int, w binary").collect())
         if got:
             w = _weights(b"".join(x for _, x in got), w)
