@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import as_bytes, fold_column, fold_of, stored, table
+from lumora.llm.common import as_bytes, fold_column, fold_of, map_batches, stored, table
 
 END = b"\n"  # no word: words have no white space
 VOCABULARY, CLASS, SHAPES, HIDDEN, WINDOW = 4096, 64, 16, 16, 32
 #: Words whose counts are broadcast, at most; the counts of all others are joined.
 HEAD = 131_072
 #: Training goes in rounds; a round reads 1 / SHARE of the training documents, other ones each time.
-ROUNDS, SHARE = 3, 64
+ROUNDS, SHARE = 2, 64
 #: Characters for a trainer, and trainers at most: their weights are averaged after a round.
 TRAINER_CHARS, TRAINERS = 1_500_000, 256
 #: Distinct words that a task counts before it passes them on.
@@ -64,7 +64,7 @@ def counted(docs: DataFrame, held_out: int = 1) -> DataFrame:
             n = [a + rest[w] for a, w in zip(c, words, strict=True)]
             train.clear()
             rest.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(shape, words), pa.int32()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["word", "shape", "c", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["word", "c", "n"])
 
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), strict=True):
@@ -74,8 +74,11 @@ def counted(docs: DataFrame, held_out: int = 1) -> DataFrame:
         if train or rest:
             yield out()
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "word binary, shape int, c long, n long")
-    return stored(rows.groupBy("word").agg(F.first("shape").alias("shape"), F.sum("c").alias("c"), F.sum("n").alias("n")))
+    def shaped(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(map(shape, b.column("word").to_pylist()), pa.int32())], names=["word", "c", "n", "shape"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    return stored(map_batches(rows.select("word", "c", "n"), shaped, "word binary, c long, n long, shape int"))
 
 
 class Vocabulary:
@@ -130,14 +133,14 @@ def start_weights(v: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     return {k: x.astype(np.float32) for k, x in w.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def _step(w: dict, h: np.ndarray, x: np.ndarray):
     n = HIDDEN
     g, hu = w["g"][x], h @ w["u"]
-    zr = _sigmoid(g[:, : 2 * n] + hu[:, : 2 * n])
+    zr = g[:, : 2 * n] + hu[:, : 2 * n]
+    zr *= 0.5
+    np.tanh(zr, out=zr)
+    zr += 1
+    zr *= 0.5  # the logistic function
     z, r, m = zr[:, :n], zr[:, n:], hu[:, 2 * n :]
     c = np.tanh(g[:, 2 * n :] + r * m)
     return c + z * (h - c), (z, r, m, c)
@@ -148,14 +151,26 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log softmax of each row at one column; x is overwritten."""
+    most = x.max(axis=1, keepdims=True)
+    if most.max() > 60 or most.min() < -60:
+        x -= most
+    own = x[np.arange(len(at)), at].astype(np.float64)
+    return own - np.log(np.exp(x, out=x).sum(axis=1))
+
+
 def _outputs(w: dict, h: np.ndarray, x: np.ndarray, classes: int, grad: dict | None = None):
     """log P of inputs x from states h, without shapes' own shares; with grad, also d(-log P)/dh."""
     cls = np.where(x < VOCABULARY, x // CLASS, classes + x - VOCABULARY)
-    lp = _log_softmax(h @ w["wc"] + w["bc"])
-    rows = np.arange(len(x))
-    out = lp[rows, cls].astype(np.float64)
-    dh = None
-    if grad is not None:
+    scores = h @ w["wc"]
+    scores += w["bc"]
+    rows, dh = np.arange(len(x)), None
+    if grad is None:
+        out = _chosen(scores, cls)
+    else:
+        lp = _log_softmax(scores)
+        out = lp[rows, cls].astype(np.float64)
         d = np.exp(lp)
         d[rows, cls] -= 1
         grad["wc"] += h.T @ d
@@ -168,10 +183,14 @@ def _outputs(w: dict, h: np.ndarray, x: np.ndarray, classes: int, grad: dict | N
         if not len(at):
             continue
         own = slice(k * CLASS, (k + 1) * CLASS)
-        lw = _log_softmax(h[at] @ w["wo"][own].T + w["bo"][own])
-        here = np.arange(len(at))
-        out[at] += lw[here, x[at] - k * CLASS]
-        if grad is not None:
+        scores = h[at] @ w["wo"][own].T
+        scores += w["bo"][own] - w["bo"][own].max()
+        if grad is None:
+            out[at] += _chosen(scores, x[at] - k * CLASS)
+        else:
+            lw = _log_softmax(scores)
+            here = np.arange(len(at))
+            out[at] += lw[here, x[at] - k * CLASS]
             d = np.exp(lw)
             d[here, x[at] - k * CLASS] -= 1
             grad["wo"][own] += d.T @ h[at]
@@ -328,37 +347,39 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, w: dict[str, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
-        known, mass = v.known, np.log10(v.shape_mass)
-        flat_base = {k: float(np.log10(c + 0.5)) for k, c in {(n, c): c for n, c in known.values()}.items()}
-        small = {word: (n, c > 0, flat_base[n, c], flat_base[n, c] - mass[n - VOCABULARY] if n >= VOCABULARY else 0.0) for word, (n, c) in known.items()}
+        mass = np.log10(v.shape_mass)
+        place = {word: i for i, word in enumerate(v.known)}
+        number = np.array([n for n, _ in v.known.values()] or [0], np.int32)
+        count = np.array([c for _, c in v.known.values()] or [0], np.float64)
+        base = np.log10(count + 0.5)
+        more = np.where(number >= VOCABULARY, base - mass[np.maximum(number - VOCABULARY, 0)], 0.0)
+        get = place.get
         for big in batches:
             for at in range(0, big.num_rows, 2 * GROUP):
                 b = big.slice(at, 2 * GROUP)
-                ids, n_known, head, own, rare = [], [], [], [], []
+                words: list[bytes] = []
+                lens = []
                 for text in as_bytes(b.column("text")):
                     ts = tokens(text)
-                    found = [small.get(t) for t in ts]
-                    base = more = 0.0
-                    seen = 0
-                    xs, other = [], Counter()
-                    for t, f in zip(ts, found, strict=True):
-                        if f is None:
-                            other[t] += 1
-                            s = shape(t)
-                            xs.append(VOCABULARY + s)
-                            more -= mass[s]
-                        else:
-                            xs.append(f[0])
-                            seen += f[1]
-                            base += f[2]
-                            more += f[3]
-                    ids.append(np.array(xs, np.int32))
-                    n_known.append(seen)
-                    head.append(base)
-                    own.append(more)
-                    rare.append([{"word": t, "k": k} for t, k in other.items()])
-                lm = score_batch(weights.value, ids, v.classes) * log_e + np.array(own)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(map(len, ids), pa.int64()), pa.array(n_known, pa.int64()), pa.array(head, pa.float64()), pa.array(lm), pa.array(rare, rare_type)], names=names)
+                    words += ts
+                    lens.append(len(ts))
+                found = np.array([get(t, -1) for t in words], np.int32)
+                ends = np.cumsum(lens)
+                owner = np.repeat(np.arange(len(lens)), lens)
+                x, hit = number[found], found >= 0
+                head = np.bincount(owner, weights=np.where(hit, base[found], 0.0), minlength=len(lens))
+                own = np.bincount(owner, weights=np.where(hit, more[found], 0.0), minlength=len(lens))
+                seen = np.bincount(owner, weights=hit & (count[found] > 0), minlength=len(lens))
+                rare: list[Counter] = [Counter() for _ in lens]
+                for k in np.flatnonzero(~hit).tolist():
+                    t, d = words[k], owner[k]
+                    s = shape(t)
+                    x[k] = VOCABULARY + s
+                    own[d] -= mass[s]
+                    rare[d][t] += 1
+                lm = score_batch(weights.value, np.split(x, ends[:-1]), v.classes) * log_e + own
+                listed = [[{"word": t, "k": k} for t, k in c.items()] for c in rare]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(lens, pa.int64()), pa.array(seen.astype(np.int64)), pa.array(head), pa.array(lm), pa.array(listed, rare_type)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
