@@ -24,6 +24,8 @@ class Value(NamedTuple):
 
     column: Column
     kind: str
+    #: A literal other than NaN.
+    constant: bool = False
 
 
 def kind_of(kind: T.DataType) -> str:
@@ -59,9 +61,9 @@ def literal(value: object) -> Value:
     if isinstance(value, bool):
         return Value(F.lit(int(value)).cast("long"), "integer")
     if isinstance(value, int):
-        return Value(F.lit(value).cast("long"), "integer") if -(2**63) <= value < 2**63 else Value(F.lit(float(value)), "real")
+        return Value(F.lit(value).cast("long"), "integer", True) if -(2**63) <= value < 2**63 else Value(F.lit(float(value)), "real", True)
     if isinstance(value, float):
-        return Value(F.lit(value), "real")
+        return Value(F.lit(value), "real", value == value)
     if isinstance(value, bytes):
         return Value(F.lit(value), "blob")
     return Value(F.lit(str(value)), "text")
@@ -91,11 +93,17 @@ def compare(op: str, a: Value, b: Value) -> Column:
         return F.when(a.column.isNotNull() & b.column.isNotNull(), same)
     numeric = {"integer", "real"}
     if a.kind in numeric and b.kind in numeric:
+        reals = [v for v in (a, b) if v.kind == "real" and not v.constant]
+        if not reals:
+            return apply(a.column, b.column)
+        if a.constant or b.constant:
+            # Spark has NaN above all numbers, so only some operators need a guard; plain ones reach the scan
+            number, other, way = (a, b, op) if b.constant else (b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op))
+            bound = other.column.cast("double") if number.kind == "real" and other.kind == "integer" else other.column
+            plain = _APPLY[way](number.column, bound)
+            return plain if way in ("=", "<", "<=") else plain & ~F.isnan(number.column)
         plain = apply(a.column, b.column)
-        nan = [F.isnan(v.column) for v in (a, b) if v.kind == "real"]
-        if not nan:
-            return plain
-        any_nan = nan[0] if len(nan) == 1 else nan[0] | nan[1]
+        any_nan = F.isnan(reals[0].column) if len(reals) == 1 else F.isnan(reals[0].column) | F.isnan(reals[1].column)
         return F.when(a.column.isNull() | b.column.isNull(), F.lit(None).cast("boolean")).when(any_nan, False).otherwise(plain)
     if a.kind == b.kind:
         return apply(a.column, b.column)
