@@ -70,7 +70,7 @@ class Shingler:
         if n < SHINGLE:
             if not n:
                 return h
-            return _mix(np.array([(h * _P[:n]).sum() + _SHORT[n]], np.uint64))
+            return _mix((h * _P[:n]).sum(keepdims=True) + _SHORT[n : n + 1])
         m = n - SHINGLE + 1
         s = h[:m] * _P[0]
         for k in range(1, SHINGLE):

@@ -119,17 +119,19 @@ def fit_rows(rows: list[tuple[bytes, int]]) -> Model:
     marks = {p for p, c in df[1].items() if c / n1 >= RATIO * (df[0][p] + 0.5) / n0 and _surprise(c, df[0][p], n1 / (n1 + n0)) >= CHANCE and not p.startswith(">")}
     keep = {p: i + 2 for i, p in enumerate(sorted(p for p in set(df[0]) | set(df[1]) if df[0][p] + df[1][p] >= LEAST))}
     slots = 6
-    codes: dict[bytes, list[int]] = {}
+    # every other document shows its words by their short leading parts only, as if they were new
+    codes: tuple[dict[bytes, list[int]], dict[bytes, list[int]]] = ({}, {})
     marked: dict[bytes, bool] = {}
     for w, ps in made.items():
-        ids = [1, *(keep[p] for p in ps if p in keep)][: slots + 1]
-        codes[w] = ids + [0] * (slots + 1 - len(ids))
+        for k, shown in enumerate((ps, [p for p in ps if p[:2] in ("3<", "4<")])):
+            ids = [1, *(keep[p] for p in shown if p in keep)][: slots + 1]
+            codes[k][w] = ids + [0] * (slots + 1 - len(ids))
         marked[w] = any(p in marks for p in ps)
     used = [(words, y) for words, y in docs if words and (not y or any(marked[w] for w in words))]
-    x = np.array([codes[w] for words, _ in used for w in words], np.int32).reshape(-1, slots + 1)
+    x = np.array([codes[i % 2][w] for i, (words, _) in enumerate(used) for w in words], np.int32).reshape(-1, slots + 1)
     y = np.array([bool(y) and marked[w] for words, y in used for w in words])
     lengths = np.array([len(words) for words, _ in used])
-    weights, a = crf.train(x, y, lengths, len(keep) + 2, epochs=40)
+    weights, a = crf.train(x, y, lengths, len(keep) + 2, epochs=40, rate=1.5)
     table_ = {p: float(weights[i]) for p, i in keep.items() if abs(weights[i]) > 1e-3}
     model = Model(table_, float(weights[1]), a, np.zeros(5))
     p, n = Tagger(model).marginals([t for t, _ in rows])
