@@ -7,7 +7,8 @@ other, the residual, goes on to the next pair. The words a source takes stay the
 exchange, so after all pairs they miss the target by less than one document. Pairs are formed in
 chunks of a bounded number of documents of like size; the residuals of CHUNK chunks meet in a chunk
 of the next level, a reduction tree of logarithmic height. The last level has one residual of each
-size bucket and a few documents held back, largest first, so that what remains is small.
+size bucket and a few documents held back, largest first; there a residual that grows too large for the
+documents after it is paired with all of them at once, so that what remains is small.
 """
 
 from __future__ import annotations
@@ -64,38 +65,81 @@ def _uniform(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
 
 
-def _pivot(items: Column, seed: int) -> Column:
-    """Folds documents (doc_id, dup, z words, m mass, 0 < m < z) into struct(residual, taken: decided documents)."""
-    item = "struct<o:bigint,h:bigint,doc_id:bigint,dup:bigint,z:bigint,m:double>"
-    start = F.struct(F.lit(None).cast(item).alias("r"), F.array().cast("array<struct<doc_id:bigint,dup:bigint,z:bigint,b:int>>").alias("done"))
+_ITEM = "struct<o:bigint,h:bigint,doc_id:bigint,dup:bigint,z:bigint,m:double>"
+_DONE = "array<struct<doc_id:bigint,dup:bigint,z:bigint,b:int>>"
+
+
+def _with_mass(x: Column, m: Column) -> Column:
+    return F.struct(x["o"].alias("o"), x["h"].alias("h"), x["doc_id"].alias("doc_id"), x["dup"].alias("dup"), x["z"].alias("z"), m.alias("m"))
+
+
+def _decided(x: Column, m: Column) -> Column:
+    return F.struct(x["doc_id"].alias("doc_id"), x["dup"].alias("dup"), x["z"].alias("z"), (m * 2 >= x["z"]).cast("int").alias("b"))
 
-    def decided(x: Column, b) -> Column:
-        b = b if isinstance(b, Column) else F.lit(b)
-        return F.struct(x["doc_id"].alias("doc_id"), x["dup"].alias("dup"), x["z"].alias("z"), b.cast("int").alias("b"))
 
-    def keep(x: Column, m: Column) -> Column:
-        return F.struct(x["o"].alias("o"), x["h"].alias("h"), x["doc_id"].alias("doc_id"), x["dup"].alias("dup"), x["z"].alias("z"), m.alias("m"))
+def _pair(r: Column, x: Column, seed: int) -> tuple[Column, Column]:
+    """The residual and the decided one after r and x exchanged mass in a random direction, as far as it goes."""
+    a = F.least(r["m"], x["z"] - x["m"])  # mass that can go from r to x
+    b = F.least(x["m"], r["z"] - r["m"])  # and back
+    forth = _uniform(F.lit(seed), r["doc_id"], r["dup"], x["doc_id"], x["dup"]) * (a + b) < b
+    rm = F.when(forth, r["m"] - a).otherwise(r["m"] + b)
+    xm = F.when(forth, x["m"] + a).otherwise(x["m"] - b)
+    # whichever came nearest to 0 or to its size is decided
+    gap = lambda m, z: F.least(m, z - m) / z
+    r_done = gap(rm, r["z"]) <= gap(xm, x["z"])
+    return F.when(r_done, _with_mass(x, xm)).otherwise(_with_mass(r, rm)), F.when(r_done, _decided(r, rm)).otherwise(_decided(x, xm))
+
+
+def _pivot(items: Column, seed: int) -> Column:
+    """Folds documents (doc_id, dup, z words, m mass, 0 < m < z) into struct(r: the residual, done: decided documents)."""
+    start = F.struct(F.lit(None).cast(_ITEM).alias("r"), F.array().cast(_DONE).alias("done"))
 
     def step(acc: Column, x: Column) -> Column:
-        r = acc["r"]
-        a = F.least(r["m"], x["z"] - x["m"])  # mass that can go from the residual to x
-        b = F.least(x["m"], r["z"] - r["m"])  # and back
-        forth = _uniform(F.lit(seed), r["doc_id"], r["dup"], x["doc_id"], x["dup"]) * (a + b) < b
-        rm = F.when(forth, r["m"] - a).otherwise(r["m"] + b)
-        xm = F.when(forth, x["m"] + a).otherwise(x["m"] - b)
-        # whichever came nearest to 0 or to its size is decided; the other is the residual
-        gap = lambda m, z: F.least(m, z - m) / z
-        r_done = gap(rm, r["z"]) <= gap(xm, x["z"])
-        as_bit = lambda m, z: (m * 2 >= z).cast("int")
-        joined = F.struct(
-            F.when(r_done, keep(x, xm)).otherwise(keep(r, rm)).alias("r"),
-            F.concat(acc["done"], F.array(F.when(r_done, decided(r, as_bit(rm, r["z"]))).otherwise(decided(x, as_bit(xm, x["z"]))))).alias("done"),
-        )
-        return F.when(r.isNull(), F.struct(keep(x, x["m"]).alias("r"), acc["done"].alias("done"))).otherwise(joined)
+        left, out = _pair(acc["r"], x, seed)
+        first = F.struct(_with_mass(x, x["m"]).alias("r"), acc["done"].alias("done"))
+        return F.when(acc["r"].isNull(), first).otherwise(F.struct(left.alias("r"), F.concat(acc["done"], F.array(out)).alias("done")))
 
     return F.aggregate(items, start, step)
 
 
+def _settle(items: Column, seed: int) -> Column:
+    """As _pivot, for documents from the largest to the smallest: a large residual does not last to the end.
+
+    While all that follow together can still take up the residual's mass, or give what it lacks, and soon no
+    longer could, it is paired with them as one: its word is then final, and each of them changes its mass by
+    the same share of its room. Such a change is linear, so the fold carries it as m -> p * m + q * z.
+    """
+    total = lambda f: F.aggregate(items, F.lit(0.0), lambda acc, x: acc + f(x))
+    start = F.struct(F.lit(None).cast(_ITEM).alias("r"), F.array().cast(_DONE).alias("done"), total(lambda x: x["z"]).alias("z"), total(lambda x: x["m"]).alias("m"), F.lit(1.0).alias("p"), F.lit(0.0).alias("q"))
+
+    def state(r: Column, done: Column, z: Column, m: Column, p: Column, q: Column) -> Column:
+        return F.struct(r.alias("r"), done.alias("done"), z.alias("z"), m.alias("m"), p.alias("p"), q.alias("q"))
+
+    def paired(acc: Column, x: Column) -> Column:
+        now = _with_mass(x, acc["p"] * x["m"] + acc["q"] * x["z"])
+        z, m = acc["z"] - x["z"], acc["m"] - now["m"]
+        left, out = _pair(acc["r"], now, seed)
+        return F.when(acc["r"].isNull(), state(now, acc["done"], z, m, acc["p"], acc["q"])).otherwise(state(left, F.concat(acc["done"], F.array(out)), z, m, acc["p"], acc["q"]))
+
+    def step(acc: Column, x: Column) -> Column:
+        # an array of one names the state once, so that it isn't worked out again for each of its uses
+        return F.element_at(F.transform(F.array(paired(acc, x)), settled), 1)
+
+    def settled(s: Column) -> Column:
+        r, room = s["r"], s["z"] - s["m"]
+        need = r["z"] - r["m"]
+        close = (r["m"] <= room) & (need <= s["m"]) & (F.least(room, s["m"]) < 2 * r["z"]) & (room > 0) & (s["m"] > 0)
+        away = _uniform(F.lit(seed + 7), r["doc_id"], r["dup"]) * r["z"] < need  # r goes to 0, its mass to the others
+        up, down = r["m"] / room, need / s["m"]
+        m = F.when(away, s["m"] + r["m"]).otherwise(s["m"] - need)
+        p = F.when(away, s["p"] * (1 - up)).otherwise(s["p"] * (1 - down))
+        q = F.when(away, s["q"] * (1 - up) + up).otherwise(s["q"] * (1 - down))
+        out = _decided(r, F.when(away, F.lit(0.0)).otherwise(r["z"].cast("double")))
+        return F.when(close, state(F.lit(None).cast(_ITEM), F.concat(s["done"], F.array(out)), s["z"], m, p, q)).otherwise(s)
+
+    return F.aggregate(items, start, step, lambda s: F.struct(s["r"].alias("r"), s["done"].alias("done")))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 20) -> DataFrame:
     """doc_id, source, dup, size, source_size, target, copies, taken: one row for each row of docs.
 
@@ -121,9 +165,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     level = open_.where(~held).select("key", "bucket", F.pmod(F.xxhash64("doc_id", "dup", F.lit(seed)), chunks).alias("chunk"), "doc_id", "dup", "z", "m")
     left, parts = max(1, -(-(facts["n"] or 0) // CHUNK)), []
 
-    def fold(level: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    def fold(level: DataFrame, keys: list[str], order: Column, by=_pivot) -> DataFrame:
         h = F.xxhash64("doc_id", "dup", F.lit(seed + 1)).alias("h")
-        folded = level.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), h, "doc_id", "dup", "z", "m"))).alias("items")).select(*keys, _pivot(F.col("items"), seed).alias("f"))
+        folded = level.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), h, "doc_id", "dup", "z", "m"))).alias("items")).select(*keys, by(F.col("items"), seed).alias("f"))
         folded = stored(folded.select(*keys, F.col("f.r").alias("r"), F.col("f.done").alias("done")))
         parts.append(folded.select("key", F.explode("done").alias("d")).select("key", "d.doc_id", "d.dup", "d.z", "d.b"))
         return folded
@@ -133,9 +177,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         if left <= 1:
             break
         left = -(-left // CHUNK)
-        level = folded.select("key", "bucket", F.floor(F.col("chunk") / CHUNK).alias("chunk"), "r.doc_id", "r.dup", "r.z", "r.m")
+        level = folded.where("r is not null").select("key", "bucket", F.floor(F.col("chunk") / CHUNK).alias("chunk"), "r.doc_id", "r.dup", "r.z", "r.m")
     rest = folded.select("key", "r.doc_id", "r.dup", "r.z", "r.m").unionByName(open_.where(held).select("key", "doc_id", "dup", "z", "m"))
-    folded = fold(rest, ["key"], -F.col("z"))
+    folded = fold(rest, ["key"], -F.col("z"), _settle).where("r is not null")
     extra = folded.select("key", "r.doc_id", "r.dup", F.col("r.z").alias("z"), (_uniform(F.lit(seed + 2), F.col("r.doc_id"), F.col("r.dup")) * F.col("r.z") < F.col("r.m")).cast("int").alias("b"))
     for d in parts:
         extra = extra.unionByName(d)
