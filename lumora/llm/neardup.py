@@ -30,6 +30,8 @@ from lumora.llm.common import as_bytes, drop_stored, stored, table
 from lumora.llm.components import components
 
 SHINGLE, GROUPS, FANOUT = 5, 16, 16
+#: Groups of the finer vectors that candidates are held against before their texts are fetched.
+FINE = 256
 #: Meetings of up to so many classes are searched at once.
 SMALL = 16
 #: A shingle in at least so many documents is frequent; at most so many frequent ones are broadcast (8 bytes each).
@@ -91,15 +93,15 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * both >= 4 * (len(a) + len(b))
 
 
-def count_vector(s: np.ndarray) -> bytes:
+def count_vector(s: np.ndarray, groups: int = GROUPS) -> bytes:
     """Counts of shingles by group, rounded up to multiples of a step so that each fits in a byte; the step goes first."""
-    c = np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    c = np.bincount((s >> np.uint64(20)).astype(np.int64) % groups, minlength=groups)
     step = max(1, -(-int(c.max()) // 255))
     return np.uint32(step).tobytes() + (-(-c // step)).astype(np.uint8).tobytes()
 
 
-def counts_of(raw: list[bytes]) -> np.ndarray:
-    flat = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), 4 + GROUPS)
+def counts_of(raw: list[bytes], groups: int = GROUPS) -> np.ndarray:
+    flat = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), 4 + groups)
     step = flat[:, :4].copy().view("<u4").astype(np.int64)
     return flat[:, 4:] * step
 
@@ -107,23 +109,25 @@ def counts_of(raw: list[bytes]) -> np.ndarray:
 class CountTree:
     """An R-tree over count vectors, packed level by level in the order of set size; nodes keep their upper corners."""
 
-    def __init__(self, sizes: np.ndarray, counts: np.ndarray):
-        """Both sorted by size."""
-        self.levels = [(sizes, sizes, counts)]
+    def __init__(self, sizes: np.ndarray, counts: np.ndarray, room: np.ndarray | None = None):
+        """All sorted by size. room: the largest overlap that a point's place in the global order leaves."""
+        self.levels = [(sizes, sizes, counts, sizes if room is None else room)]
         while len(self.levels[-1][0]) > FANOUT:
-            low, high, corner = self.levels[-1]
+            low, high, corner, room = self.levels[-1]
             at = np.arange(0, len(low), FANOUT)
-            self.levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(corner, at, axis=0)))
+            self.levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(corner, at, axis=0), np.maximum.reduceat(room, at)))
 
-    def search(self, sizes: np.ndarray, counts: np.ndarray, chunk: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def search(self, sizes: np.ndarray, counts: np.ndarray, room: np.ndarray | None = None, chunk: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, point) indexes of all pairs whose bounded overlap may reach the threshold, in portions."""
         for a in range(0, len(sizes), chunk):
             n, c = sizes[a : a + chunk], counts[a : a + chunk]
+            left = n if room is None else room[a : a + chunk]
             top = len(self.levels[-1][0])
             q, p = np.repeat(np.arange(len(n)), top), np.tile(np.arange(top), len(n))
             for depth in range(len(self.levels) - 1, -1, -1):
-                low, high, corner = self.levels[depth]
-                near = (5 * high[p] >= 4 * n[q]) & (4 * low[p] <= 5 * n[q])
+                low, high, corner, space = self.levels[depth]
+                least = np.maximum(low[p], -(-4 * n[q] // 5))
+                near = (5 * high[p] >= 4 * n[q]) & (4 * low[p] <= 5 * n[q]) & (9 * np.minimum(space[p], left[q]) >= 4 * (n[q] + least))
                 q, p = q[near], p[near]
                 bound = np.concatenate([np.minimum(c[q[i : i + 65536]], corner[p[i : i + 65536]]).sum(axis=1) for i in range(0, len(q), 65536)] or [np.empty(0, np.int64)])
                 least = np.maximum(low[p], -(-4 * n[q] // 5))
@@ -142,18 +146,18 @@ def _rows(names: list[str], *arrays) -> pa.RecordBatch:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """Stored rows of two kinds: kind 0, a document (id, class, n); kind 1, a shingle (class) that n documents of a batch share.
+    """Stored rows of two kinds: kind 0, a document (id, class, n, fine); kind 1, a shingle (class) that n documents of a batch share.
 
     The counts of shingles are lossy: what occurs once in a batch isn't counted.
     """
-    names = ["kind", "id", "class", "n"]
+    names = ["kind", "id", "class", "n", "fine"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for b in batches:
             sets = [shingles(t) for t in as_bytes(b.column("text"))]
             n = np.array([len(s) for s in sets], np.int64)
-            yield _rows(names, pa.array([0] * len(sets), pa.int8()), b.column("id"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(n))
+            yield _rows(names, pa.array([0] * len(sets), pa.int8()), b.column("id"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(n), pa.array([count_vector(s, FINE) if len(s) else None for s in sets], pa.binary()))
             # a copy in the batch counts once
             seen: dict[int, np.ndarray] = {class_of(s): s for s in sets}
             every = np.concatenate(list(seen.values())) if seen else np.empty(0, np.uint64)
@@ -162,9 +166,9 @@ def sets_of(docs: DataFrame) -> DataFrame:
             k = np.diff(np.concatenate([starts, [len(every)]]))
             often = k >= 2
             s = every[starts[often]].view(np.int64)
-            yield _rows(names, pa.array(np.ones(len(s), np.int8)), pa.nulls(len(s), pa.int64()), pa.array(s), pa.array(k[often].astype(np.int64)))
+            yield _rows(names, pa.array(np.ones(len(s), np.int8)), pa.nulls(len(s), pa.int64()), pa.array(s), pa.array(k[often].astype(np.int64)), pa.nulls(len(s), pa.binary()))
 
-    return stored(docs.mapInArrow(run, "kind tinyint, id long, class long, n long"))
+    return stored(docs.mapInArrow(run, "kind tinyint, id long, class long, n long, fine binary"))
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -249,8 +253,8 @@ def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """Stored rows of two kinds: kind 0, a candidate pair (a, b); kind 1, a row of a large meeting (key, a, n, counts)."""
-    names = ["kind", "key", "a", "b", "n", "counts"]
+    """Stored rows of two kinds: kind 0, a candidate pair (a, b); kind 1, a row of a large meeting (key, a, n, room, counts)."""
+    names = ["kind", "key", "a", "b", "n", "room", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["key"]):
@@ -283,20 +287,23 @@ def meetings(rows: DataFrame) -> DataFrame:
             large = [(s, g) for s, g in zip(starts[size > SMALL], size[size > SMALL], strict=True)]
             for s, g in large:
                 own = rows_at[s : s + g]
-                near = 5 * n[own[:-1]] >= 4 * n[own[1:]]
-                first.append(cls[own[:-1]][near])
-                second.append(cls[own[1:]][near])
+                # neighbours in the tree's order, and all with the one that the meeting's shingle comes first in
+                hub = own[np.argmin(at[own] / n[own])]
+                for x, y in ((own[:-1], own[1:]), (np.full(g, hub), own)):
+                    near = (9 * np.minimum(n[x] - at[x], n[y] - at[y]) >= 4 * (n[x] + n[y])) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+                    first.append(cls[x][near])
+                    second.append(cls[y][near])
             a, b = _distinct(first, second)
             if len(a):
-                yield _rows(names, pa.array(np.zeros(len(a), np.int8)), pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()))
+                yield _rows(names, pa.array(np.zeros(len(a), np.int8)), pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()))
             if large:
                 own = np.concatenate([rows_at[s : s + g] for s, g in large])
                 for k in range(0, len(own), 50_000):
                     o = own[k : k + 50_000]
-                    yield _rows(names, pa.array(np.ones(len(o), np.int8)), pa.array(key[o]), pa.array(cls[o]), pa.nulls(len(o), pa.int64()), pa.array(n[o].astype(np.int32)), t.column("counts").take(pa.array(o)).combine_chunks().cast(pa.binary()))
+                    yield _rows(names, pa.array(np.ones(len(o), np.int8)), pa.array(key[o]), pa.array(cls[o]), pa.nulls(len(o), pa.int64()), pa.array(n[o].astype(np.int32)), pa.array((n[o] - at[o]).astype(np.int32)), t.column("counts").take(pa.array(o)).combine_chunks().cast(pa.binary()))
 
     dealt = rows.repartition(F.col("key")).sortWithinPartitions("key", "n", "class")
-    return stored(dealt.mapInArrow(run, "kind tinyint, key long, a long, b long, n int, counts binary"))
+    return stored(dealt.mapInArrow(run, "kind tinyint, key long, a long, b long, n int, room int, counts binary"))
 
 
 def across(large: DataFrame, parts: DataFrame) -> DataFrame:
@@ -304,7 +311,7 @@ def across(large: DataFrame, parts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["key", "share"]):
-            key, share, cls, comp, n, shares = (t.column(c).to_numpy().astype(np.int64) for c in ("key", "share", "a", "component", "n", "shares"))
+            key, share, cls, comp, n, room, shares = (t.column(c).to_numpy().astype(np.int64) for c in ("key", "share", "a", "component", "n", "room", "shares"))
             counts = None
             starts, size = _bounds((key[1:] != key[:-1]) | (share[1:] != share[:-1]))
             a, b = [], []
@@ -315,8 +322,8 @@ def across(large: DataFrame, parts: DataFrame) -> DataFrame:
                 if counts is None:
                     counts = counts_of(t.column("counts").to_pylist())
                 mine = np.flatnonzero(np.abs(cls[own]) % shares[s] == share[s])
-                tree = CountTree(n[own], counts[own])
-                for q, p in tree.search(n[own][mine], counts[own][mine]):
+                tree = CountTree(n[own], counts[own], room[own])
+                for q, p in tree.search(n[own][mine], counts[own][mine], room[own][mine]):
                     q = mine[q]
                     other = comp[own][q] != comp[own][p]
                     a.append(cls[own][q[other]])
@@ -328,7 +335,7 @@ def across(large: DataFrame, parts: DataFrame) -> DataFrame:
     sizes = large.groupBy("key").agg(F.count("*").alias("g")).select("key", F.ceil(F.col("g") / SPLIT).cast("int").alias("shares"))
     rows = large.join(sizes, "key").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     rows = rows.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    dealt = rows.select("key", "share", "shares", "a", "component", "n", "counts").repartition("key", "share").sortWithinPartitions("key", "share", "n", "a")
+    dealt = rows.select("key", "share", "shares", "a", "component", "n", "room", "counts").repartition("key", "share").sortWithinPartitions("key", "share", "n", "a")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -342,8 +349,25 @@ def _filter(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def narrowed(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs whose overlap the fine vectors don't rule out; stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 2000):
+                b = big.slice(at, 2000)
+                na, nb = (b.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+                bound = np.minimum(counts_of(b.column("fa").to_pylist(), FINE), counts_of(b.column("fb").to_pylist(), FINE)).sum(axis=1)
+                keep = pa.array(9 * bound >= 4 * (na + nb))
+                yield _rows(["a", "b"], b.column("a").filter(keep), b.column("b").filter(keep))
+
+    side = lambda x: names.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(run, "a long, b long"))
+
+
 def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b: the pairs of classes that are linked; stored. names: class, id of one of its documents."""
+    """a, b: the pairs of classes that are linked; stored. names: class, id of one of its documents, n, fine."""
+    pairs = narrowed(pairs, names)
     needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().join(names, "class")
     needed = stored(needed.select("class", "id"))
     bits = docs.sparkSession.sparkContext.broadcast(_filter(needed))
@@ -392,8 +416,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark, lowest = docs.sparkSession, -(2**63)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("id"), "text")
     sets = sets_of(texts)
-    mine = sets.where("kind = 0 and n > 0").select("id", "class", "n")
-    names = stored(mine.groupBy("class").agg(F.min("id").alias("id")))
+    mine = sets.where("kind = 0 and n > 0")
+    names = stored(mine.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fine").alias("fine")))
     often = sets.where("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "class").limit(FREQUENT_ROWS)
     frequent = np.array([r[0] for r in often.select("class").collect()], np.int64)
     met = meetings(prefixes(texts, frequent))
@@ -401,7 +425,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = stored(met.where("kind = 0").select("a", "b").distinct())
     links = verified(pairs, names, texts)
     parts = components(links)
-    large = met.where("kind = 1").select("key", "a", "n", "counts")
+    large = met.where("kind = 1").select("key", "a", "n", "room", "counts")
     if not large.isEmpty():
         more = stored(across(large, parts).join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
