@@ -190,13 +190,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: each row of docs as many times as mix() takes it, with docs' own columns."""
-    made = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("dup").alias("__d"), F.col("copies").alias("__c"))
-    own = docs.withColumns({"__i": F.col("doc_id").cast("long"), "__s": F.col("source"), "__z": word_count(F.col("text"))})
-    own = own.withColumn("__d", F.row_number().over(Window.partitionBy("__i", "__s", "__z").orderBy(F.lit(0))).cast("long") - 1)
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("__i", "__s", "__z", "__d")]
-    both = own.alias("a").join(made.alias("b"), same[0] & same[1] & same[2] & same[3])
-    return both.select(*[F.col(f"a.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("b.__c"))).alias("__n")).drop("__n")
+    """The mixture itself: each row of docs as many times as mix() takes it, with docs' own columns.
+
+    Rows of one (doc_id, source, size) share what mix() takes of them evenly. The texts are shuffled once.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__i"), F.expr(KEY).alias("__s")]
+    made = mix(docs, **options).select(*key, F.col("size").alias("__z"), "copies").groupBy("__i", "__s", "__z").agg(F.sum("copies").alias("__k"), F.count("*").alias("__m")).where("__k > 0")
+    own = docs.select("*", *key, word_count(F.col("text")).alias("__z"))
+    both = own.join(made, ["__i", "__s", "__z"])
+    nth = F.row_number().over(Window.partitionBy("__i", "__s", "__z").orderBy("__i"))  # the join's partitions and order serve
+    times = F.floor(F.col("__k") / F.col("__m")) + (nth <= F.col("__k") % F.col("__m")).cast("long")
+    taken = both.withColumn("__t", times).where("__t > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__t"))).alias("__n")).drop("__n")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
