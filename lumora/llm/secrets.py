@@ -150,26 +150,27 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> str:
     return f"(({' + '.join(votes)}) / {len(votes)}D)"
 
 
-def scan(docs: DataFrame, forest: str, least: float = 0.5) -> DataFrame:
-    """docs with `findings`: array of (value, start, end, score) that the forest keeps, in order.
+def scan(docs: DataFrame, forest: str, least: float = 0.5, name: str = "findings") -> DataFrame:
+    """docs with a column `name`: array of (value, start, end, score) that the forest keeps, in order.
 
     A null or empty text has none. Offsets are in characters, the end exclusive.
     """
     c = docs.withColumn("__c", F.coalesce(candidates(F.col("text")), F.array().cast("array<struct<value:string,start:bigint,before:string,after:string>>")))
     scored = F.transform("__c", lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), (c["start"] + F.char_length(c["value"])).alias("end"), F.struct(*_features(c)).alias("x")))
     voted = F.expr(f"transform(__s, s -> named_struct('value', s.value, 'start', s.start, 'end', s.end, 'score', {forest.replace('x.', 's.x.')}))")
-    kept = c.withColumn("__s", scored).withColumn("findings", voted)
-    return kept.withColumn("findings", F.filter("findings", lambda f: f["score"] >= least)).drop("__c", "__s")
+    kept = c.withColumn("__s", scored).withColumn(name, voted)
+    return kept.withColumn(name, F.filter(name, lambda f: f["score"] >= least)).drop("__c", "__s")
 
 
 def redact(docs: DataFrame, forest: str) -> DataFrame:
     """docs with every kept secret replaced by MASK wherever its document has it; n_chars follows where there is one."""
-    out = scan(docs, forest)
-    text = F.aggregate(F.col("findings"), F.col("text"), lambda t, f: F.replace(t, f["value"], F.lit(MASK)))
-    out = out.withColumn("text", F.when(F.size("findings") > 0, text).otherwise(F.col("text")))
+    out = scan(docs, forest, name="__found")
+    text = F.aggregate(F.col("__found"), F.col("text"), lambda t, f: F.replace(t, f["value"], F.lit(MASK)))
+    some = F.size("__found") > 0
+    out = out.withColumn("text", F.when(some, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("findings") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(some, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
