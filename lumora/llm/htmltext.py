@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import map_batches, table
+from lumora.llm.common import map_batches, sample_of_rows, table
 
 #: Pages that the weights are learned from, at most, and the longest among them.
 TRAIN_ROWS, TRAIN_CHARS = 2000, 200_000
@@ -172,7 +172,7 @@ def extract(page: str, weights: dict[str, float]) -> str:
 
 def fit(pages: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, float]:
     """Weights from at most `rows` pages, those of the smallest url hashes. Counts come to the driver, by tag."""
-    sample = pages.where(F.length("html") <= TRAIN_CHARS).select("page_id", "url", "html").orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(rows)
+    sample = sample_of_rows(pages.where(F.length("html") <= TRAIN_CHARS).select("page_id", "url", "html"), rows, "page_id", "url")
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         total: Counter = Counter()

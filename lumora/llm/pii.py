@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import map_batches, table
+from lumora.llm.common import map_batches, sample_of_rows, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field is fitted on, at most, and the longest among them; both bound the driver's memory.
@@ -248,8 +248,8 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits the field on at most `rows` documents with a digit or @, those of the smallest hashes."""
-    sample = docs.where(F.length("text") <= TRAIN_CHARS).where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").select("doc_id", "text").limit(rows)
-    return fit_texts([r["text"] for r in sample.select("text").collect()])
+    known = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).where(F.col("text").rlike("[0-9@]"))
+    return fit_texts(sorted(r["text"] for r in sample_of_rows(known, rows, "doc_id", "text").select("text").collect()))
 
 
 def find_all(docs: DataFrame, model: Model) -> DataFrame:
