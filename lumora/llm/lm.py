@@ -3,8 +3,8 @@
 P(word | state) = P(class | state) * P(word | class, state). The most frequent words (VOCABULARY of
 them) are dealt to classes of CLASS words; the others fall into SHAPES classes by their letters, in
 which a word's share follows its count in the whole training corpus. All counts cover all training
-documents; the network's weights are fitted, by truncated backpropagation, on a fixed share of them,
-so that both grow with the corpus. Documents are scored whole: the state goes on from window to
+documents; the network's weights are fitted, by truncated backpropagation, on all of them too, each
+read once. Documents are scored whole: the state goes on from window to
 window.
 """
 
@@ -24,8 +24,8 @@ END = b"\n"  # no word: words have no white space
 VOCABULARY, CLASS, SHAPES, HIDDEN, WINDOW = 4096, 64, 16, 16, 32
 #: Words whose counts are broadcast, at most; the counts of all others are joined.
 HEAD = 131_072
-#: Training goes in rounds; a round reads 1 / SHARE of the training documents, other ones each time.
-ROUNDS, SHARE = 2, 64
+#: Training goes in rounds, which read other rows each and together every row of the training documents.
+ROUNDS = 2
 #: Characters for a trainer, and trainers at most: their weights are averaged after a round.
 TRAINER_CHARS, TRAINERS = 1_500_000, 256
 #: Distinct words that a task counts before it passes them on.
@@ -146,9 +146,15 @@ def _step(w: dict, h: np.ndarray, x: np.ndarray):
     return c + z * (h - c), (z, r, m, c)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _loss(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log softmax of each row at one column, and the gradient of its negative; x is overwritten."""
+    rows = np.arange(len(at))
+    x -= x.max(axis=1, keepdims=True)
+    own = x[rows, at].astype(np.float64)
+    total = np.exp(x, out=x).sum(axis=1, keepdims=True)
+    x /= total
+    x[rows, at] -= 1
+    return own - np.log(total[:, 0]), x
 
 
 def _chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -165,14 +171,11 @@ def _outputs(w: dict, h: np.ndarray, x: np.ndarray, classes: int, grad: dict | N
     cls = np.where(x < VOCABULARY, x // CLASS, classes + x - VOCABULARY)
     scores = h @ w["wc"]
     scores += w["bc"]
-    rows, dh = np.arange(len(x)), None
+    dh = None
     if grad is None:
         out = _chosen(scores, cls)
     else:
-        lp = _log_softmax(scores)
-        out = lp[rows, cls].astype(np.float64)
-        d = np.exp(lp)
-        d[rows, cls] -= 1
+        out, d = _loss(scores, cls)
         grad["wc"] += h.T @ d
         grad["bc"] += d.sum(axis=0)
         dh = d @ w["wc"].T
@@ -188,11 +191,8 @@ def _outputs(w: dict, h: np.ndarray, x: np.ndarray, classes: int, grad: dict | N
         if grad is None:
             out[at] += _chosen(scores, x[at] - k * CLASS)
         else:
-            lw = _log_softmax(scores)
-            here = np.arange(len(at))
-            out[at] += lw[here, x[at] - k * CLASS]
-            d = np.exp(lw)
-            d[here, x[at] - k * CLASS] -= 1
+            lp, d = _loss(scores, x[at] - k * CLASS)
+            out[at] += lp
             grad["wo"][own] += d.T @ h[at]
             grad["bo"][own] += d.sum(axis=0)
             dh[at] += d @ w["wo"][own]
@@ -221,17 +221,19 @@ def train(w: dict[str, np.ndarray], docs: Iterator[np.ndarray], classes: int, ra
         order = sorted(range(len(rows)), key=lambda k: -len(window[k]))
         rows, window = [rows[k] for k in order], [window[k] for k in order]
         lens = np.array(list(map(len, window)))
+        by_time = np.zeros((length, len(rows)), np.int64)
+        for k, s in enumerate(window):
+            by_time[: len(s), k] = s
         state, past, states, xs = h[rows], [], [], []
-        for t in range(length):
-            n = int((lens > t).sum())
-            x = np.array([s[t] for s in window[:n]])
+        for t, n in enumerate(np.searchsorted(-lens, -np.arange(length))):
+            x = by_time[t, :n]
             states.append(state[:n])
             xs.append(x)
             new, kept = _step(w, state[:n], x)
             past.append(kept)
             state = np.concatenate([new, state[n:]])
         h[rows] = state
-        grad = {k: np.zeros_like(x) for k, x in w.items()}
+        grad = {k: np.zeros_like(x) for k, x in w.items() if k != "g"}
         flat = np.concatenate(xs)
         _, dflat = _outputs(w, np.concatenate(states), flat, classes, grad)
         at, dh, u = len(flat), np.zeros((0, HIDDEN), np.float32), w["u"]
@@ -248,8 +250,13 @@ def train(w: dict[str, np.ndarray], docs: Iterator[np.ndarray], classes: int, ra
             grad["u"] += before.T @ dhu
             dh = dh * z + dhu @ u.T + dflat[at - n : at]
             at -= n
-        np.add.at(grad["g"], flat, dg)
         read += len(flat)
+        # only the inputs that occur have a gradient
+        order = np.argsort(flat, kind="stable")
+        own, starts = np.unique(flat[order], return_index=True)
+        g = np.add.reduceat(dg[order], starts) / np.float32(len(flat))
+        square["g"][own] += g * g
+        w["g"][own] -= rate * g / np.sqrt(square["g"][own])
         for k, g in grad.items():
             g /= len(flat)
             square[k] += g * g
@@ -300,14 +307,14 @@ def _weights(raw: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def fit(docs: DataFrame, v: Vocabulary, held_out: int = 1, rounds: int = ROUNDS, share: int = SHARE) -> dict[str, np.ndarray]:
-    """Rounds of local training on 1/share of the training documents each, and of averaging by tokens read."""
+def fit(docs: DataFrame, v: Vocabulary, held_out: int = 1, rounds: int = ROUNDS, share: int | None = None) -> dict[str, np.ndarray]:
+    """Rounds of local training on 1/share of the training rows each, and of averaging by tokens read. Without share the rounds read them all."""
     spark = docs.sparkSession
     w, block = start_weights(v), 1 << 14
     vocab = spark.sparkContext.broadcast(v)
     text = docs.where(fold_column() != held_out).select("doc_id", "text").where("text is not null")
     for k in range(rounds):
-        part = text.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(share)) == k)
+        part = text.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(share or rounds)) == k)
         chars = part.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
         now = spark.sparkContext.broadcast(w)
         trainers = int(min(TRAINERS, max(1, -(-chars // TRAINER_CHARS))))

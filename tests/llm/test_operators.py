@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -71,6 +72,20 @@ def test_language_model(spark, docs, none, rows):
     assert lm.score(docs, empty, w, lm.start_weights(w)).where("score >= 0 or isnan(score) or n_known != 0").count() == 0
 
 
+def test_every_training_document_is_trained_on(spark, docs, rows, monkeypatch, tmp_path):
+    v, learn = lm.vocabulary(lm.counted(docs)), lm.train
+
+    def train(w, ids, *a):
+        read = learn(w, ids, *a)
+        (tmp_path / os.urandom(8).hex()).write_text(str(read))
+        return read
+
+    monkeypatch.setattr(lm, "train", train)
+    lm.fit(docs, v)
+    want = sum(len(words(lower(t))) + 1 for i, t, *_ in rows if t is not None and lm.fold_of(i) != 1)
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == want
+
+
 def test_rare_words_are_joined(spark, docs, monkeypatch):
     counts = lm.counted(docs)
     every, w = lm.vocabulary(counts), None
