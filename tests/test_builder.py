@@ -186,6 +186,13 @@ def test_catalogue_matches_its_sql(spark, name):
     assert sorted(map(repr, rows(df.select(*titles)))) == sorted(map(repr, q.fetchall()))
 
 
+def test_join_on_integer_and_real_reads_whole_tables(spark):
+    parts = {float(k): k for (k,) in rows(spark.read.parquet(f"{SMALL}/part.parquet").select("p_partkey"))}
+    lines = rows(spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_quantity", "l_orderkey", "l_linenumber"))
+    want = sorted((parts[q], o, n) for q, o, n in lines if q in parts)
+    assert sorted(rows(catalog.QUERIES["join_int_real_key"](spark, SMALL))) == want and len(want) == len(lines)
+
+
 def test_command_line(spark, tmp_path, capsys):
     from lumora import cli
 
