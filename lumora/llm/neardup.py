@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.llm.common import as_bytes, drop_stored, stored, table
@@ -339,10 +339,9 @@ def across(large: DataFrame, parts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _filter(ids: DataFrame) -> bytes:
-    """A bit set of FILTER_BITS bits with each id's hash: at most one 8-byte word a 64 bits comes to the driver."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(bit.alias("x")).groupBy(F.floor(F.col("x") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x % 64 as int))")).alias("v"))
+def _filter(rows: DataFrame, bit: Column) -> bytes:
+    """A bit set of FILTER_BITS bits with each row's bit: at most one 8-byte word a 64 bits comes to the driver."""
+    words = rows.select(bit.alias("x")).groupBy(F.floor(F.col("x") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x % 64 as int))")).alias("v"))
     out = np.zeros(FILTER_BITS // 64, np.int64)
     for w, v in words.toLocalIterator():
         out[w] = v
@@ -370,29 +369,43 @@ def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = narrowed(pairs, names)
     needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().join(names, "class")
     needed = stored(needed.select("class", "id"))
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(needed))
+    id_bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bits = docs.sparkSession.sparkContext.broadcast((_filter(needed, id_bit), _filter(needed, F.pmod("class", F.lit(FILTER_BITS)))))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(bits.value, np.uint8)
-        for b in batches:
-            x = b.column("bit").to_numpy()
-            yield b.filter(pa.array((held[x >> 3] >> (x & 7)) & 1 == 1)).select(["id", "text"])
+        # rows of one id may have different texts: ids only save work, classes decide. A task tells a class once
+        ids, classes = (np.frombuffer(x, np.uint8) for x in bits.value)
+        shingles, told = Shingler(), set()
+        for big in batches:
+            x = big.column("bit").to_numpy()
+            b = big.filter(pa.array((ids[x >> 3] >> (x & 7)) & 1 == 1))
+            at, own = [], []
+            for k, text in enumerate(as_bytes(b.column("text"))):
+                c = class_of(shingles(text))
+                x = c % FILTER_BITS
+                if (classes[x >> 3] >> (x & 7)) & 1 and c not in told:
+                    told.add(c)
+                    at.append(k)
+                    own.append(c)
+            yield _rows(["class", "text"], pa.array(own, pa.int64()), b.column("text").take(pa.array(at, pa.int64())))
 
-    some = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit")).mapInArrow(pick, "id long, text string")
-    texts = stored(needed.join(some, "id").groupBy("class").agg(F.min("text").alias("text")))
+    some = docs.select("text", id_bit.alias("bit")).mapInArrow(pick, "class long, text string")
+    texts = stored(needed.select("class").join(some, "class").groupBy("class").agg(F.min("text").alias("text")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, last, x = Shingler(), None, None
-        for b in batches:
-            a_ids, b_ids = b.column("a"), b.column("b")
-            keep = []
-            for k, (a, ta, tb) in enumerate(zip(a_ids.to_pylist(), as_bytes(b.column("ta")), as_bytes(b.column("tb")), strict=True)):
-                if a != last:
-                    last, x = a, shingles(ta)
-                if linked(x, shingles(tb)):
-                    keep.append(k)
-            at = pa.array(keep, pa.int64())
-            yield _rows(["a", "b"], a_ids.take(at), b_ids.take(at))
+        for big in batches:
+            for start in range(0, big.num_rows, 200):  # long texts: few are copied at once
+                b = big.slice(start, 200)
+                a_ids, b_ids = b.column("a"), b.column("b")
+                keep = []
+                for k, (a, ta, tb) in enumerate(zip(a_ids.to_pylist(), as_bytes(b.column("ta")), as_bytes(b.column("tb")), strict=True)):
+                    if a != last:
+                        last, x = a, shingles(ta)
+                    if linked(x, shingles(tb)):
+                        keep.append(k)
+                at = pa.array(keep, pa.int64())
+                yield _rows(["a", "b"], a_ids.take(at), b_ids.take(at))
 
     joined = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
     out = stored(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"))

@@ -153,6 +153,19 @@ def test_near_duplicates(spark, docs, rows, monkeypatch, frequent, small):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(more)
 
 
+def test_near_duplicates_with_ids_of_several_texts(spark):
+    """Links are those of texts, whatever other texts have their ids."""
+    many = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    found = [(11, "zz " + many("z", 100)), (11, "aa " + many("a", 100)), (12, "zz " + many("z", 99))]
+    found += [(None, many("n", 100)), (None, many("m", 80)), (13, many("n", 99))]
+    # two texts of an id that just fail the threshold; one of them has a near copy with a lesser id
+    for k in range(10):
+        shared = many(f"s{k}_", 178)
+        found += [(100 + k, shared + " " + many(f"p{k}_", 22)), (100 + k, shared + " " + many(f"q{k}_", 22)), (50 + k, shared + " " + many(f"p{k}_", 21))]
+    got = neardup.near_duplicates(spark.createDataFrame(found, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(found)
+
+
 def test_near_duplicates_of_nothing_and_what_stays(docs, none, rows):
     assert neardup.near_duplicates(none).count() == 0
     kept = neardup.deduplicated(docs)
