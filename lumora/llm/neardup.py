@@ -42,6 +42,8 @@ SPLIT = 8192
 #: Bits of the filter that keeps texts without candidates at home; false positives cost work only.
 FILTER_BITS = 1 << 25
 WORDS_KNOWN = 400_000
+#: Stands for a null id.
+LOWEST = -(2**63)
 
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _SHORT = np.array([0, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -146,18 +148,18 @@ def _rows(names: list[str], *arrays) -> pa.RecordBatch:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """Stored rows of two kinds: kind 0, a document (id, class, n, fine); kind 1, a shingle (class) that n documents of a batch share.
+    """Stored rows of two kinds: kind 0, a document (id, row, class, n, fine); kind 1, a shingle (class) that n documents of a batch share.
 
     The counts of shingles are lossy: what occurs once in a batch isn't counted.
     """
-    names = ["kind", "id", "class", "n", "fine"]
+    names = ["kind", "id", "row", "class", "n", "fine"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for b in batches:
             sets = [shingles(t) for t in as_bytes(b.column("text"))]
             n = np.array([len(s) for s in sets], np.int64)
-            yield _rows(names, pa.array([0] * len(sets), pa.int8()), b.column("id"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(n), pa.array([count_vector(s, FINE) if len(s) else None for s in sets], pa.binary()))
+            yield _rows(names, pa.array([0] * len(sets), pa.int8()), b.column("id"), b.column("row"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(n), pa.array([count_vector(s, FINE) if len(s) else None for s in sets], pa.binary()))
             # a copy in the batch counts once
             seen: dict[int, np.ndarray] = {class_of(s): s for s in sets}
             every = np.concatenate(list(seen.values())) if seen else np.empty(0, np.uint64)
@@ -166,9 +168,9 @@ def sets_of(docs: DataFrame) -> DataFrame:
             k = np.diff(np.concatenate([starts, [len(every)]]))
             often = k >= 2
             s = every[starts[often]].view(np.int64)
-            yield _rows(names, pa.array(np.ones(len(s), np.int8)), pa.nulls(len(s), pa.int64()), pa.array(s), pa.array(k[often].astype(np.int64)), pa.nulls(len(s), pa.binary()))
+            yield _rows(names, pa.array(np.ones(len(s), np.int8)), pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.int64()), pa.array(s), pa.array(k[often].astype(np.int64)), pa.nulls(len(s), pa.binary()))
 
-    return stored(docs.mapInArrow(run, "kind tinyint, id long, class long, n long, fine binary"))
+    return stored(docs.mapInArrow(run, "kind tinyint, id long, row long, class long, n long, fine binary"))
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -419,15 +421,9 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of docs.
-
-    docs: doc_id, text; other columns are ignored. component_id is the least doc_id that links reach;
-    a document without words is linked with nothing, whatever other rows have its id. A null id counts as
-    the least of all and is given as null. Repeated rows are in one class. No rows give no rows.
-    """
-    spark, lowest = docs.sparkSession, -(2**63)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("id"), "text")
+def _grouped(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, row, class, n) of texts (id, row, text), and of each class with words its component (class, id, component)."""
+    spark = texts.sparkSession
     sets = sets_of(texts)
     mine = sets.where("kind = 0 and n > 0")
     names = stored(mine.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fine").alias("fine")))
@@ -445,18 +441,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             parts = components(links.unionByName(verified(more, names, texts)))
     _release(spark)
     grouped = names.join(parts.withColumnRenamed("node", "class"), "class", "left").select("class", "id", F.coalesce("component", "class").alias("component"))
+    return sets.where("kind = 0"), grouped
+
+
+def _texts(docs: DataFrame, row: Column) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), row.alias("row"), "text")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row for each row of docs.
+
+    docs: doc_id, text; other columns are ignored. component_id is the least doc_id that links reach;
+    a document without words is linked with nothing, whatever other rows have its id. A null id counts as
+    the least of all and is given as null. Repeated rows are in one class. No rows give no rows.
+    """
+    own, grouped = _grouped(_texts(docs, F.lit(0).cast("long")))
     least = grouped.groupBy("component").agg(F.min("id").alias("least"))
     told = grouped.join(least, "component").select("class", "least")
-    own = sets.where("kind = 0")
     out = own.where("n > 0").join(told, "class").select("id", "n", "least").unionByName(own.where("n = 0").select("id", "n", F.col("id").alias("least")))
-    real = lambda c: F.when(F.col(c) != lowest, F.col(c))
+    real = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
     return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("least").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: that of the least doc_id; rows without words all stay."""
-    keep = near_duplicates(docs).where("component_id <=> doc_id").select(F.col("doc_id").alias("__k")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__k")), "left_semi").select(*docs.columns)
+    """docs with one row of each group: one of the least doc_id; rows without words all stay."""
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    own, grouped = _grouped(_texts(numbered, F.col("__row")))
+    # a row a class first: copies don't meet in one task
+    first = own.where("n > 0").groupBy("class").agg(F.min(F.struct("id", "row")).alias("first"))
+    best = first.join(grouped.select("class", "component"), "class").groupBy("component").agg(F.min("first").alias("best"))
+    keep = best.select(F.col("best.row").alias("__row")).unionByName(own.where("n = 0").select(F.col("row").alias("__row")))
+    return numbered.join(keep, "__row", "left_semi").select(*docs.columns)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,6 +174,16 @@ def test_near_duplicates_of_nothing_and_what_stays(docs, none, rows):
     assert ids == {c for _, _, c in brute_components(rows)}
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    other = " ".join(f"v{i}" for i in range(100))
+    found = [(1, text), (1, text), (1, text + " end"), (2, text), (None, other), (None, other + " end"), (3, other), (1, "alone"), (1, ""), (1, ""), (None, None)]
+    kept = neardup.deduplicated(spark.createDataFrame(found, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(r.doc_id for r in kept if (r.text or "").startswith("w")) == {1: 1}
+    assert Counter(r.doc_id for r in kept if (r.text or "").startswith("v")) == {None: 1}
+    assert Counter((r.doc_id, r.text) for r in kept if not r.text or r.text == "alone") == {(1, "alone"): 1, (1, ""): 2, (None, None): 1}
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     pairs = [(int(a), int(b)) for a, b in rng.integers(-50, 50, (60, 2))] + [(k, k + 1) for k in range(100, 160)] + [(7, 7), (200, 100), (200, 100)]
