@@ -24,10 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (tests, one machine) a temporary folder takes its place.
+    Where the setting is absent, as in tests, a temporary folder takes its place on a local master; on a
+    cluster, whose executors would not see it, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lumora-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lumora-{uuid.uuid4().hex}"
@@ -83,14 +87,23 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
 
 
 def sample_of_rows(df: DataFrame, rows: int, *by: str) -> DataFrame:
-    """At most `rows` rows of df, the same each time: those of the smallest hashes of the columns `by`.
+    """At most `rows` rows of df, the same each time: those of the smallest distinct hashes of the columns `by`.
 
     Only hashes are sorted; the rows themselves stay where they are. Rows that agree in `by` count as one.
     """
-    h = F.xxhash64(*by)
-    cut = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    kept = df.where(h <= cut) if cut is not None else df.where("false")
-    return kept.groupBy(h.alias("h")).agg(*[F.first(c).alias(c) for c in df.columns]).drop("h")
+    h = fresh(df, "h")
+    hashed = df.withColumn(h, F.xxhash64(*by))
+    cut = hashed.select(h).distinct().orderBy(h).limit(rows).agg(F.max(h)).first()[0]
+    kept = hashed.where(F.col(h) <= cut) if cut is not None else hashed.where("false")
+    return kept.groupBy(h).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("x")).select("x.*")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def sample_of_labels(labels: DataFrame, column: str, rows: int, skip_fold: int | None = None) -> DataFrame:

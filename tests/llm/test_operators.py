@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -265,6 +266,45 @@ def test_secrets(spark, docs, none):
     assert "Exchange" not in plan.split("InMemoryRelation")[0] and not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_secret_candidates_against_brute_force(spark):
+    """Positions, values and surroundings of candidates, by another regular expression engine, in texts of random parts."""
+    regex = pytest.importorskip("regex")
+    rng = random.Random(9)
+    parts = ["password", "api-key", "ApiKey", "access_key", "token", "=", ":", '"', "'", " ", "\n", "\x01", "é", "a1", "ABCDEFGHIJKLMNOPQ", "x" * 15, "9" * 17, "abcdef0123456789AB", "==", "/", "-", "_", ".", ",", "hunter22", "zzz"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + [" ".join(f"k{i}=abcdef0123456789{i} token: q{i}w2e3." for i in range(3000)), None, ""]
+    cut = secrets.pieces(F.col("text"))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").withColumn("p", cut)
+    got = {r.i: [(c.value, c.start, c.before, c.after) for c in r.c] for r in df.select("i", F.coalesce(secrets.candidates(F.col("p")), F.array()).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        t, want, last = (t or "").replace("\x01", " "), [], 0
+        spans = [m.span(2) if m[2] is not None else m.span(3) for m in regex.finditer(secrets.CANDIDATE, t)]
+        for k, (a, b) in enumerate(spans):
+            end = spans[k + 1][0] if k + 1 < len(spans) else len(t)
+            want.append((t[a:b], a, t[last:a][-48:], t[b:end][:16]))
+            last = b
+        assert got[i] == want
+
+
+def test_secret_forest_and_redaction(spark, docs):
+    """The forest as SQL votes as the model does; no secret leaves a tail, whichever begins like another."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = secrets.labelled(docs).cache()
+    data = secrets.featured(rows)
+    model = secrets.grown(data)
+    x = F.struct(*[vector_to_array("v")[i].alias(f) for i, f in enumerate(secrets.FEATURES)]).alias("x")
+    both = model.transform(data).select("v", x, "prediction", F.col("label").alias("y")).select("v", "prediction", "y", F.expr(secrets.as_sql(model)).alias("score")).collect()
+    assert len(both) > 2000 and sum((r.score >= 0.5) == (r.prediction == 1) for r in both) >= 0.99 * len(both)  # the model weighs leaves, we count trees
+    assert all(abs(r.score - sum(t.predict(r.v) for t in model.trees) / secrets.TREES) < 1e-9 for r in both[::97])
+    assert sum((r.score >= 0.5) == (r.y == 1) for r in both) >= 0.98 * len(both)
+    short, long_ = "abcd1234efgh5678ijkl", "abcd1234efgh5678ijklMNOP9"
+    df = spark.createDataFrame([(1, f"{short} and {long_} and {short}", "y", 3), (1, f"{short} and {long_} and {short}", "y", 3), (2, "none\x01here", None, 4), (3, None, "z", None)], "doc_id long, text string, pieces string, n_chars int")
+    got = sorted((r.doc_id, r.text, r.pieces, r.n_chars) for r in secrets.redact(df, "1.0D").collect() if r.text)
+    masked = "[SECRET] and [SECRET] and [SECRET]"
+    assert got == [(1, masked, "y", len(masked))] * 2 + [(2, "none\x01here", None, 4)]
+    assert secrets.redact(df, "1.0D").where("text is null").count() == 1
+
+
 def test_packing(docs, none, rows):
     got = packing.pack(docs, length=64).collect()
     from tokenizers import Tokenizer
