@@ -68,32 +68,56 @@ def viterbi(u: Sequence[float], a: np.ndarray) -> list[int]:
     return y[::-1]
 
 
+def _inner(lengths: np.ndarray) -> np.ndarray:
+    """The flat places that have a predecessor in their chain."""
+    first = np.zeros(int(lengths.sum()), bool)
+    first[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)[: len(lengths)]] = True
+    return np.flatnonzero(~first)
+
+
+def gradient(u: np.ndarray, labels: np.ndarray, lengths: np.ndarray, a: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the log likelihood by node potentials (flat) and by transitions [2, 2]: what is observed less what is expected.
+
+    weight: importance of each chain, given at each of its positions.
+    """
+    f, b = _messages(u, lengths, a)
+    nodes = labels - sigmoid(f + b)
+    to = _inner(lengths)
+    before, here = f[to - 1], u[to] + b[to]
+    score = np.stack([np.full(len(to), a[0, 0]), a[0, 1] + here, a[1, 0] + before, a[1, 1] + before + here])
+    score = np.exp(score - score.max(axis=0, initial=-np.inf)) if len(to) else score
+    expected = score / score.sum(axis=0) if len(to) else score
+    observed = np.zeros_like(expected)
+    observed[(2 * labels[to - 1] + labels[to]).astype(np.int64), np.arange(len(to))] = 1
+    pairs = observed - expected
+    if weight is not None:
+        nodes, pairs = nodes * weight, pairs * weight[to]
+    return nodes, pairs.sum(axis=1).reshape(2, 2)
+
+
 def train(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_features: int, epochs: int = 40, rate: float = 0.5, l2: float = 1e-4, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Weights [n_features] and transitions [2, 2], by full-batch gradient ascent with per-weight steps.
+    """Weights [n_features] and transitions [2, 2], by full-batch gradient ascent with adaptive, shrinking steps.
 
     features: [positions, slots] ids, 0 for none; labels: 0/1 a position; chains lie one after another.
-    The transitions start from the labels' smoothed frequencies. weight: importance of each position.
+    The transitions start from the labels' smoothed frequencies and are fitted along with the weights.
+    weight: importance of each chain, given at each of its positions.
     """
     features, labels, lengths = np.asarray(features), np.asarray(labels, float), np.asarray(lengths, np.int64)
     lengths = lengths[lengths > 0]
-    first = np.zeros(len(labels), bool)
-    first[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)[: len(lengths)]] = True
-    nxt = ~first
-    y1, y0 = labels[nxt].astype(int), labels[np.flatnonzero(nxt) - 1].astype(int)
+    to = _inner(lengths)
     seen = np.ones((2, 2))
-    np.add.at(seen, (y0, y1), 1)
+    np.add.at(seen, (labels[to - 1].astype(int), labels[to].astype(int)), 1)
     a = np.log(seen / seen.sum(axis=1, keepdims=True))
-    w, square = np.zeros(n_features), np.full(n_features, 1e-8)
-    flat = features.ravel()
+    flat, n = features.ravel(), n_features
+    x, mean, square = np.concatenate([np.zeros(n), a.ravel()]), np.zeros(n + 4), np.zeros(n + 4)
     scale = 1 / max(1, len(labels))
-    for _ in range(epochs):
-        w[0] = 0.0
-        u = w[features].sum(axis=1)
-        g = labels - marginals(u, lengths, a)
-        if weight is not None:
-            g = g * weight
-        grad = np.bincount(flat, weights=np.repeat(g, features.shape[1]), minlength=n_features) * scale - l2 * w * scale
-        square += grad * grad
-        w += rate * grad / np.sqrt(square)
-    w[0] = 0.0
-    return w, a
+    for k in range(epochs):
+        x[0] = 0.0
+        g, ga = gradient(x[:n][features].sum(axis=1), labels, lengths, x[n:].reshape(2, 2), weight)
+        grad = np.concatenate([np.bincount(flat, weights=np.repeat(g, features.shape[1]), minlength=n) - l2 * x[:n], ga.ravel()]) * scale
+        mean += 0.1 * (grad - mean)
+        square += 0.05 * (grad * grad - square)
+        step = (mean / (1 - 0.9 ** (k + 1))) / (np.sqrt(square / (1 - 0.95 ** (k + 1))) + 1e-9)
+        x += rate * (1 - k / epochs) * step
+    x[0] = 0.0
+    return x[:n], x[n:].reshape(2, 2)

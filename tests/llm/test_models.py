@@ -36,6 +36,33 @@ def test_chain_training_learns_labels():
     assert w[2] > 0 > w[1] and ((crf.marginals(w[x[:, 0]], np.full(60, 10), a) >= 0.5) == y).mean() > 0.9
 
 
+def test_chain_gradient_against_enumeration():
+    """Node and transition gradients are the numeric derivatives of the enumerated log likelihood."""
+    rng = np.random.default_rng(2)
+    lengths, a = np.array([4, 1, 3]), rng.normal(size=(2, 2))
+    u, y = rng.normal(size=8), rng.integers(0, 2, 8).astype(float)
+    weight = np.repeat([2.0, 1.0, 0.5], lengths)
+
+    def likelihood(u, a):
+        total, at = 0.0, 0
+        for n in lengths:
+            own, real = u[at : at + n], tuple(y[at : at + n].astype(int))
+            score = {z: sum(v * x for v, x in zip(z, own, strict=True)) + sum(a[p, q] for p, q in itertools.pairwise(z)) for z in itertools.product((0, 1), repeat=int(n))}
+            total += weight[at] * (score[real] - math.log(sum(math.exp(s) for s in score.values())))
+            at += n
+        return total
+
+    nodes, pairs = crf.gradient(u, y, lengths, a, weight)
+    step = 1e-5
+    for i in range(8):
+        d = np.eye(8)[i] * step
+        assert abs((likelihood(u + d, a) - likelihood(u - d, a)) / (2 * step) - nodes[i]) < 1e-6
+    for i, j in itertools.product((0, 1), repeat=2):
+        d = np.zeros((2, 2))
+        d[i, j] = step
+        assert abs((likelihood(u, a + d) - likelihood(u, a - d)) / (2 * step) - pairs[i, j]) < 1e-6
+
+
 def brute_repeats(words):
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     hit = set()
