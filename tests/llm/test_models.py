@@ -165,17 +165,38 @@ def test_extraction():
         assert sum(x[a:b]) == max([0.0, *(sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1))])
 
 
-def test_top_k_of_a_block_against_brute_force():
-    rng = np.random.default_rng(0)
-    for n, m, d in ((1500, 20, 8), (3, 2, 4), (900, 5, 1)):
-        x, q = rng.integers(-9, 9, (n, d)), rng.integers(-9, 9, (m, d))
-        ids, qi = np.arange(n) * 3, np.arange(m) * 3
-        got = topk.search_block(qi, q, ids, x, 5, sub=100)
-        for i in range(m):
-            want = sorted(((-int(q[i] @ x[j]), int(ids[j])) for j in range(n) if ids[j] != qi[i]))[:5]
-            assert [(-s, v) for k, v, s in got if k == qi[i]] == want
-    big = np.array([[2**40, -(2**40)], [2**40 + 1, 5]])
-    assert topk.search_block(np.array([0]), big[:1], np.array([0, 1]), big, 5) == [(0, 1, 2**40 * (2**40 + 1) - 5 * 2**40)]
+def searched(keys, ids, q, x, block_keys, k=5, parts=100):
+    s = topk.Search(keys, q, k)
+    for at in range(0, len(x), parts):
+        s.add(block_keys[at : at + parts], ids[at : at + parts], x[at : at + parts])
+    return s, [[(int(i), int(v)) for i, v in zip(*b, strict=True)] for b in s.best]
+
+
+def test_sorted_lists_against_brute_force():
+    rng = np.random.default_rng(3)
+    for n, d, high in ((300, 8, 4), (50, 3, 1000), (3, 2, 5), (700, 16, 100), (5, 0, 1)):
+        x = rng.integers(-high, high + 1, (n, d)).astype(float)
+        ids, keys = rng.permutation(n) // 2, np.arange(n)
+        own = rng.choice(n, min(7, n), replace=False)
+        _, got = searched(own, ids, x[own], x, keys)
+        for r, found in zip(own, got, strict=True):
+            want = sorted((-int(x[r] @ x[j]), int(ids[j])) for j in range(n) if j != r)[:5]
+            assert [(-s, i) for i, s in found] == want
+    big = np.array([[2.0**40, -5.0], [2.0**40 + 1, 2.0**40]])
+    assert searched(np.array([0]), np.array([0, 1]), big[:1], big, np.arange(2))[1] == [[(1, 2**40 * (2**40 + 1) - 5 * 2**40)]]
+
+
+def test_sorted_lists_are_read_in_part():
+    """Where the lists agree, reading stops early; ties are read through."""
+    rng = np.random.default_rng(4)
+    x = np.floor(256 * rng.pareto(1.2, (4096, 1)) * rng.uniform(0.5, 1, (4096, 8)))  # the lists agree
+    s, got = searched(np.arange(20), np.arange(4096), x[:20], x, np.arange(4096), parts=2048)
+    assert 0 < s.read < 0.5 * s.all
+    for i, found in enumerate(got):
+        assert [v for _, v in found] == sorted((int(x[i] @ y) for j, y in enumerate(x) if j != i), reverse=True)[:5]
+    same = np.ones((256, 4))
+    s, got = searched(np.arange(1), np.arange(256), same[:1], same, np.arange(256), parts=256)
+    assert got == [[(i, 4) for i in range(1, 6)]]
 
 
 def test_shares_are_exact_monotone_and_invertible():

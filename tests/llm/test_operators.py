@@ -235,20 +235,26 @@ def test_top_k(spark):
     vectors = [(i, [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(160)] + [(500, None), (501, [1.0, None]), (502, [math.nan] * 6), (503, [math.inf] * 6), (None, [1.0] * 6), (504, []), (505, [9.0, 9.0]), (0, None), (7, [0.0] * 6)]
     vectors = [(i, v, "x") for i, v in vectors] + [(600, [0.25] * 6, "x"), (601, [0.25] * 6, "x"), (650, [0.25] * 6, "x")]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, score string")
-    sound = {}
-    for i, v, _ in vectors:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            w = [float(np.float32(x)) for x in v]
-            sound[i] = min(sound.get(i, w), w)
-    whole = {i: [math.floor(256 * x) for x in v] for i, v in sound.items()}
-    want = set()
-    for q in whole:
-        if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=False)), i) for i, v in whole.items() if i != q)[:5]
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
-    got = topk.top_k(df, F.col("vec_id") % 50 == 0, block=32, query_block=2).collect()
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    vectors += [(700, [0.5] * 6, "y"), (700, [0.25] * 6, "y"), (50, [0.1] * 6, "y")]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, score string")
+    sound = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v, _ in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = Counter()
+    for r, (i, v) in enumerate(sound):
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for t, (j, w) in enumerate(sound) if t != r)[:5]
+            want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(best))
+    for pass_bytes in (topk.PASS_BYTES, 100):
+        assert Counter(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, pass_bytes=pass_bytes).collect()) == want
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.top_k(df, F.col("vec_id") < 0).count() == 0
+
+
+def test_top_k_of_wide_scores(spark):
+    """Scores beyond 64 bits are ranked as they are and returned as the nearest long."""
+    df = spark.createDataFrame([(0, [1e7, 1e7]), (1, [3e12, 0.0]), (2, [4e12, 0.0]), (3, [-1e300, 0.0]), (4, [1.0, 2.0]), (5, [0.0, 1e300])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    exact = lambda v: sum(int(256 * 1e7) * int(256 * x) for x in v)
+    assert got == [(5, 2**63 - 1), (2, min(2**63 - 1, exact([4e12, 0]))), (1, min(2**63 - 1, exact([3e12, 0]))), (4, exact([1, 2])), (3, -(2**63))]
 
 
 def test_secrets(spark, docs, none):
