@@ -1,20 +1,24 @@
-"""Packing: deficit round-robin over source queues fills windows to the corpus' token proportions.
-
-Each source is a queue, the stream of its documents' tokens in table order. Every window of LENGTH
-tokens owes each queue its share of all tokens; what a queue got too little (its deficit, below the
-depth of the tree beneath) is carried to the next window. The round-robin is a binary tree: a node that
-passes on x tokens gives its left half floor(x * left / all) of them, and the rest to its right half,
-so a node's deficit never reaches a token. That closed form gives the state before any window
-without a replay of the earlier ones: deficits are carried across windows and partitions, and each
-partition places its own documents alone. All queues end together; only the last window is padded.
-
-The tokens are counted in a first pass, which stores the ids; a second one cuts them. Nothing is
-shuffled but the table of tokens by partition and queue.
+"""Packing: deficit round-robin over source queues fills windows to target token proportions.
+
+Each source is a queue, the stream of its documents' tokens in table order. A round gives every queue
+a quantum, its target share of a window's tokens; a queue serves documents while its deficit counter
+is above zero, and pays their tokens. What it took too much or too little is carried from round to
+round, so after any number of windows a queue has had its share but for a round's quantum and one document.
+Documents follow each other in the order of service and are cut only where a window ends.
+
+So that many tasks can pack, all queues are cut into the same number of lanes, each with an equal part
+of every queue (from a place that depends on the source, so that sources of few documents are spread).
+A document belongs to the lane in which its first token lies. By how far the last document of
+the lane before reaches into this one is known from the first document's place: that is the deficit
+which the queue carries from lane to lane. Lanes are small, so a task holds little; each ends with one window to be padded.
+
+The tokens are counted in a first pass, which stores the ids; they are shuffled once, to their lanes.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -22,16 +26,16 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumora.llm.common import stored, table
 
 LENGTH, END = 2048, 1
-#: More sources than this share queues by hash.
-QUEUES = 4096
-#: Up to so many (partition, queue) rows of three numbers are broadcast; beyond, they are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Windows a lane, about.
+LANE = 1024
+#: Up to so many (partition, queue) rows are broadcast; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 100_000
 #: Words whose ids a task remembers, at most.
 CACHE = 250_000
 _ODD = frozenset("\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
@@ -95,87 +99,50 @@ class Encoder:
         return b"".join(out)
 
 
-def scaled(x: np.ndarray, part: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """floor(x * part / whole), exactly, for 0 <= part <= whole < 2**45 and 0 <= x <= whole; 0 where whole is 0."""
-    whole = np.maximum(whole, 1)
-    q = np.zeros_like(x)
-    r = np.zeros_like(x)
-    for shift in (34, 17, 0):
-        r = (r << 17) + ((x >> shift) & 0x1FFFF) * part
-        q = (q << 17) + r // whole
-        r %= whole
-    return q
-
-
-class Shares:
-    """How many of the first x tokens belong to each queue, and to all queues before it."""
-
-    def __init__(self, totals: list[int]):
-        self.sums = np.concatenate([[0], np.cumsum(np.asarray(totals, np.int64))])
-        self.depth = max(0, (len(totals) - 1).bit_length())
-        self.n, self.total = len(totals), int(self.sums[-1])
-
-    def at(self, queue: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(own tokens, tokens of the queues before) among the first x."""
-        low = np.zeros_like(queue)
-        high = np.full_like(queue, 1 << self.depth)
-        before, own = np.zeros_like(x), x.copy()
-        s = lambda i: self.sums[np.minimum(i, self.n)]
-        for _ in range(self.depth):
-            mid = (low + high) // 2
-            left = scaled(own, s(mid) - s(low), s(high) - s(low))
-            right = queue >= mid
-            before = before + np.where(right, left, 0)
-            own = np.where(right, own - left, left)
-            low, high = np.where(right, mid, low), np.where(right, high, mid)
-        return own, before
-
-    def window(self, queue: np.ndarray, position: np.ndarray, length: int) -> np.ndarray:
-        """The window that holds the token at `position` of its queue."""
-        low, high = np.zeros_like(position), np.full_like(position, max(0, -(-self.total // length) - 1))
-        while (low < high).any():
-            mid = (low + high) // 2
-            got = self.at(queue, np.minimum((mid + 1) * length, self.total))[0] > position
-            low, high = np.where(got, low, mid + 1), np.where(got, mid, high)
-        return low
-
-
-def pieces(shares: Shares, queue: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document index, start in the document, length, window, offset in it) of every piece.
-
-    queue, start, n: each document's queue, the place of its first token there, and its tokens (1 at least).
+def served(queues: list[tuple[int, int, list[int]]], whole: int, length: int) -> list[tuple[int, int]]:
+    """(queue, document) in the order of service by deficit round-robin.
+
+    queues: (weight, tokens carried, sizes of the documents); a queue's target share is weight / whole.
+    Counters hold tokens times `whole`, so they are exact. Rounds in which a queue has nothing to
+    serve are leapt over. Queues of weight 0 come last.
     """
-    first, last = shares.window(queue, start, length), shares.window(queue, start + n - 1, length)
-    span = last - first + 1
-    wide = span <= 4 * n + 4
-    doc = np.repeat(np.arange(len(n)), np.where(wide, span, n))
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(np.where(wide, span, n)) - np.where(wide, span, n), np.where(wide, span, n))
-    w = first[doc] + nth
-    thin = ~wide[doc]
-    if thin.any():  # a queue of so few tokens that most windows have none of it: look up each token's window
-        w[thin] = shares.window(queue[doc[thin]], start[doc[thin]] + nth[thin], length)
-        again = np.zeros(len(doc), bool)
-        again[1:] = thin[1:] & (doc[1:] == doc[:-1]) & (w[1:] == w[:-1])
-        doc, w = doc[~again], w[~again]
-    q, top = queue[doc], shares.total
-    own, before = shares.at(q, np.minimum(w * length, top))
-    own_end, before_end = shares.at(q, np.minimum((w + 1) * length, top))
-    a, b = np.maximum(own, start[doc]), np.minimum(own_end, start[doc] + n[doc])
-    kept = b > a
-    doc, w, a, b, own, base = doc[kept], w[kept], a[kept], b[kept], own[kept], (before_end - before)[kept]
-    return doc, a - start[doc], b - a, w, base + a - own
-
-
-def _queues(docs: DataFrame, queues: int) -> DataFrame:
-    """docs with a queue number: sources by code point, null last; hashed where there are too many."""
-    names = [r[0] for r in docs.select("source").distinct().orderBy(F.col("source").asc_nulls_last()).limit(queues + 1).collect()]
-    if len(names) > queues:
-        return docs.withColumn("queue", F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()), F.lit(queues)).cast("int"))
-    numbers = docs.sparkSession.createDataFrame([(s, i) for i, s in enumerate(names)], "s string, queue int")
-    return docs.join(F.broadcast(numbers), docs["source"].eqNullSafe(numbers["s"])).drop("s")
-
-
-def encoded(docs: DataFrame, paths: tuple[str, str] | None = None, queues: int = QUEUES) -> DataFrame:
+    out, heap = [], []
+    at = [0] * len(queues)
+    for s, (weight, carried, sizes) in enumerate(queues):
+        if weight > 0 and sizes:
+            d, quantum = carried * whole, weight * length
+            k = max(1, -d // quantum + 1)
+            heap.append((k, s, d + k * quantum))
+    heapq.heapify(heap)
+    while heap:
+        k, s, d = heapq.heappop(heap)
+        weight, _, sizes = queues[s]
+        i, quantum = at[s], weight * length
+        while d > 0 and i < len(sizes):
+            out.append((s, i))
+            d -= sizes[i] * whole
+            i += 1
+        at[s] = i
+        if i < len(sizes):
+            more = -d // quantum + 1
+            heapq.heappush(heap, (k + more, s, d + more * quantum))
+    out += [(s, i) for s, q in enumerate(queues) if q[0] <= 0 for i in range(len(q[2]))]
+    return out
+
+
+def pieces(n: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(document index, start in the document, length, window, offset in it) of documents of n tokens each, one after another."""
+    end = np.cumsum(n)
+    start = end - n
+    first, last = start // length, (end - 1) // length
+    count = last - first + 1
+    doc = np.repeat(np.arange(len(n)), count)
+    w = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    a, b = np.maximum(start[doc], w * length), np.minimum(end[doc], (w + 1) * length)
+    return doc, a - start[doc], b - a, w, a - w * length
+
+
+def encoded(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, queue, n, ids, part, place: stored. place: tokens of the queue before this document in its partition."""
     json_path, ranks_path = paths or default_paths()
 
@@ -189,42 +156,72 @@ def encoded(docs: DataFrame, paths: tuple[str, str] | None = None, queues: int =
             for q, k in zip(b.column("queue").to_pylist(), n, strict=True):
                 place.append(places.get(q, 0))
                 places[q] = place[-1] + k
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("queue").cast(pa.int32()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([part] * len(n), pa.int32()), pa.array(place, pa.int64())], names=["doc_id", "queue", "n", "ids", "part", "place"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("queue"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([part] * len(n), pa.int32()), pa.array(place, pa.int64())], names=["doc_id", "queue", "n", "ids", "part", "place"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", queue_of(F.col("source")).alias("queue"))
+    return stored(rows.mapInArrow(run, "doc_id long, queue string, n long, ids binary, part int, place long"))
+
 
-    rows = _queues(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"), queues)
-    return stored(rows.select("doc_id", "text", "queue").mapInArrow(run, "doc_id long, queue int, n long, ids binary, part int, place long"))
+def queue_of(source: Column) -> Column:
+    """A queue's name: that of its source behind "=", or nothing for null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def pack(docs: DataFrame, length: int = LENGTH, paths: tuple[str, str] | None = None, queues: int = QUEUES) -> DataFrame:
+def in_lanes(ids: DataFrame, length: int, lane: int, weights: dict[str | None, float] | None) -> tuple[DataFrame, int]:
+    """ids with lane, weight and `carried` (tokens, where a document is its queue's first in the lane), and the sum of all weights."""
+    sums = ids.groupBy("part", "queue").agg(F.sum("n").alias("tokens"))
+    own = Window.partitionBy("queue")
+    base = stored(sums.withColumn("base", F.sum("tokens").over(own.orderBy("part")) - F.col("tokens")).withColumn("of_queue", F.sum("tokens").over(own)))
+    whole = base.agg(F.sum("tokens")).first()[0] or 0
+    lanes = max(1, -(-whole // (lane * length)))
+    weight = F.col("of_queue")
+    if weights is not None:
+        fixed = [("" if s is None else "=" + s, round(w * 2**20)) for s, w in weights.items()]
+        whole = sum(w for _, w in fixed)
+        given = F.create_map(*[F.lit(x) for pair in fixed for x in pair]) if fixed else F.lit(None).cast("map<string,bigint>")
+        weight = F.coalesce(given[F.col("queue")], F.lit(0)).cast("long")
+    table_ = base.select("part", "queue", "base", "of_queue", weight.alias("weight"))
+    placed = ids.join(F.broadcast(table_) if base.count() <= BROADCAST_ROWS else table_, ["part", "queue"])
+    shift = F.pmod(F.xxhash64("queue", F.lit(23)), F.col("of_queue"))
+    placed = placed.withColumn("start", F.pmod(F.col("base") + F.col("place") + shift, F.col("of_queue")))
+    width = F.col("of_queue") / F.lit(lanes)  # tokens of the queue a lane, not whole
+    placed = placed.withColumn("lane", F.least(F.floor(F.col("start") / width).cast("long"), F.lit(lanes - 1)))
+    carried = (F.floor(F.col("lane") * width) - F.col("start")).cast("long")
+    return placed.select("lane", "queue", "weight", "start", carried.alias("carried"), "doc_id", "n", "ids"), whole
+
+
+def pack(docs: DataFrame, length: int = LENGTH, paths: tuple[str, str] | None = None, weights: dict[str | None, float] | None = None, lane: int = LANE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row a piece.
 
     docs: doc_id, text, source; other columns are ignored. A null text is empty: its one token is the
     end. Null sources are a queue of their own. Repeated rows are packed as often as they occur. No
-    rows give no pieces. Sequences have `length` tokens, but the last, which is to be padded.
+    rows give no pieces. Sequences have `length` tokens, but the last one of a lane, which is to be
+    padded; they are numbered by lane times 2**32 and within it. weights: target share of each source, in any
+    unit; sources without one are packed after the others. By default each source's share of all
+    tokens, so that all queues end together.
     """
-    ids = encoded(docs, paths, queues)
-    sums = ids.groupBy("part", "queue").agg(F.sum("n").alias("tokens"))
-    base = stored(sums.withColumn("base", F.sum("tokens").over(Window.partitionBy("queue").orderBy("part")) - F.col("tokens")))
-    totals = {r["queue"]: r["t"] for r in base.groupBy("queue").agg(F.sum("tokens").alias("t")).collect()}
-    shares = Shares([totals.get(q, 0) for q in range(max(totals, default=0) + 1)])
-    small = base.select("part", "queue", "base")
-    placed = ids.join(F.broadcast(small) if base.count() <= BROADCAST_ROWS else small, ["part", "queue"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            queue, n, start = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("queue", "n", "start"))
-            doc, at, size, w, offset = pieces(shares, queue, start, n, length)
-            crc, raw, now = [], b"", -1
-            column = b.column("ids")
-            for d, a, s in zip(doc.tolist(), (4 * at).tolist(), (4 * size).tolist(), strict=True):
-                if d != now:
-                    now, raw = d, memoryview(np.frombuffer(column[d].as_py(), "<u2").astype("<u4").tobytes())
-                crc.append(zlib.crc32(raw[a : a + s]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (at, size, crc, n[doc], w, offset))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return placed.select("doc_id", "queue", "n", (F.col("base") + F.col("place")).alias("start"), "ids").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    placed, whole = in_lanes(encoded(docs, paths), length, lane, weights)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("queue", "ascending"), ("start", "ascending")]).combine_chunks()
+        n, number = np.asarray(t["n"], np.int64), t["lane"][0].as_py()
+        name = t["queue"].combine_chunks().dictionary_encode()
+        code = np.asarray((name.chunk(0) if isinstance(name, pa.ChunkedArray) else name).indices)
+        first = np.flatnonzero(np.diff(code, prepend=-1)).tolist()
+        weight, carried = t["weight"].to_pylist(), t["carried"].to_pylist()
+        size = n.tolist()
+        queues = [(weight[a], carried[a], size[a:b]) for a, b in zip(first, [*first[1:], len(size)], strict=True)]
+        order = np.array([first[s] + i for s, i in served(queues, whole, length)], np.int64)
+        doc, at, k, w, offset = pieces(n[order], length)
+        crc, raw, now, column = [], b"", -1, t["ids"]
+        for d, a, m in zip(order[doc].tolist(), (4 * at).tolist(), (4 * k).tolist(), strict=True):
+            if d != now:
+                now, raw = d, memoryview(np.frombuffer(column[d].as_py(), "<u2").astype("<u4").tobytes())
+            crc.append(zlib.crc32(raw[a : a + m]))
+        return pa.Table.from_arrays([t["doc_id"].take(pa.array(order[doc])), *(pa.array(x, pa.int64()) for x in (at, k, crc, n[order[doc]], number * 2**32 + w, offset))], names=names)
+
+    return placed.groupBy("lane").applyInArrow(one, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

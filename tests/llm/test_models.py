@@ -199,47 +199,51 @@ def test_sorted_lists_are_read_in_part():
     assert got == [[(i, 4) for i in range(1, 6)]]
 
 
-def test_shares_are_exact_monotone_and_invertible():
-    rng = random.Random(0)
-    for _ in range(20):
-        totals = [rng.choice([0, 1, rng.randint(0, 50), rng.randint(0, 4000)]) for _ in range(rng.randint(1, 9))]
-        s = packing.Shares(totals)
-        if not s.total:
-            continue
-        x = np.arange(s.total + 1)
-        own = np.array([s.at(np.full(len(x), q), x)[0] for q in range(len(totals))])
-        before = np.array([s.at(np.full(len(x), q), x)[1] for q in range(len(totals))])
-        assert (own.sum(axis=0) == x).all() and (np.diff(own, axis=1) >= 0).all() and list(own[:, -1]) == totals
-        assert (before == np.cumsum(own, axis=0) - own).all()
-        assert np.abs(own - np.outer(totals, x) / s.total).max() <= s.depth + 1
-        for q, t in enumerate(totals):
-            if t:
-                w = s.window(np.full(t, q), np.arange(t), 16)
-                assert (w == [int((own[q, :: 16][1:] <= p).sum()) if s.total % 16 == 0 else int((own[q, [min(16 * (k + 1), s.total) for k in range(-(-s.total // 16))]] <= p).sum()) for p in range(t)]).all()
-    big = [2**43, 2**43 - 12345, 7]
-    s = packing.Shares(big)
-    x = np.array([0, 1, 2**42, sum(big)])
-    assert [int(v) for v in packing.scaled(x, np.array([big[0]]), np.array([sum(big)]))] == [int(v) * big[0] // sum(big) for v in x]
+def replayed(queues, whole, length):
+    """Deficit round-robin as in the book: every round visits every queue."""
+    out, at, d = [], [0] * len(queues), [c * whole for _, c, _ in queues]
+    while any(w > 0 and at[s] < len(sizes) for s, (w, _, sizes) in enumerate(queues)):
+        for s, (w, _, sizes) in enumerate(queues):
+            if w > 0 and at[s] < len(sizes):
+                d[s] += w * length
+                while d[s] > 0 and at[s] < len(sizes):
+                    out.append((s, at[s]))
+                    d[s] -= sizes[at[s]] * whole
+                    at[s] += 1
+    return out + [(s, i) for s, (w, _, sizes) in enumerate(queues) if w <= 0 for i in range(len(sizes))]
+
+
+def test_round_robin_against_replay():
+    rng = random.Random(6)
+    for _ in range(200):
+        queues = [(rng.choice([0, 1, rng.randint(1, 500)]), -rng.randint(0, 40), [rng.choice([1, 5, rng.randint(1, 90)]) for _ in range(rng.randint(0, 25))]) for _ in range(rng.randint(0, 6))]
+        whole = sum(w for w, _, _ in queues) + rng.randint(0, 50)
+        assert packing.served(queues, whole, 16) == replayed(queues, whole, 16)
+
+
+def test_round_robin_keeps_shares():
+    """After any document a queue that still waits is within a quantum and a document of its share."""
+    rng = random.Random(7)
+    sizes = [[rng.randint(1, 300) for _ in range(n)] for n in (400, 50, 900)]
+    total = [sum(s) for s in sizes]
+    order = packing.served([(t, 0, s) for t, s in zip(total, sizes, strict=True)], sum(total), 2048)
+    took = [0, 0, 0]
+    for s, i in order:
+        took[s] += sizes[s][i]
+        x = sum(took)
+        for q in range(3):
+            assert abs(took[q] - x * total[q] / sum(total)) <= 2048 + 3 * 300
+    assert took == total
 
 
 def test_pieces_tile_windows():
-    rng = random.Random(1)
-    docs = [(rng.choice([0, 0, 0, 1, 2]), rng.randint(1, 90)) for _ in range(300)] + [(3, 1)]
-    at, start = [0] * 4, []
-    for q, n in docs:
-        start.append(at[q])
-        at[q] += n
-    s = packing.Shares(at)
-    doc, a, size, w, offset = packing.pieces(s, np.array([q for q, _ in docs]), np.array(start), np.array([n for _, n in docs]), 32)
-    seen = sorted((int(x) * 32 + int(o), int(k)) for x, o, k in zip(w, offset, size, strict=True))
-    pos = 0
-    for p, k in seen:
-        assert p == pos
-        pos += k
-    assert pos == s.total
-    for i, (_, n) in enumerate(docs):
-        own = sorted((int(x), int(k)) for d, x, k in zip(doc, a, size, strict=True) if d == i)
-        assert sum(k for _, k in own) == n and [x for x, _ in own] == list(np.cumsum([0, *(k for _, k in own)])[:-1])
+    rng = np.random.default_rng(8)
+    n = rng.integers(1, 100, 200)
+    doc, at, size, w, offset = packing.pieces(n, 32)
+    assert (np.bincount(doc, weights=size) == n).all() and (np.bincount(w, weights=size)[:-1] == 32).all()
+    place = w * 32 + offset
+    assert list(place) == [0, *np.cumsum(size)[:-1]] and (at[doc == 0][0], at.max() < 100) == (0, True)
+    assert all((at[doc == d] == np.cumsum(size[doc == d]) - size[doc == d]).all() for d in range(200))
 
 
 def test_encoder_gives_the_librarys_ids():
