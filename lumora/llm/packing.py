@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -36,9 +37,9 @@ LENGTH, END = 2048, 1
 LANE = 1024
 #: Up to so many (partition, queue) rows are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 100_000
-#: Words whose ids a task remembers, at most.
-CACHE = 250_000
-_ODD = frozenset("\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+#: Lanes that a task packs, about, one after another, and tasks at most.
+LANES_A_TASK, TASKS = 2, 50_000
+_FAR = re.compile("[\u0250-\U0010ffff]")
 
 
 def default_paths() -> tuple[str, str]:
@@ -50,9 +51,8 @@ def default_paths() -> tuple[str, str]:
 class Encoder:
     """Ids of a byte-level BPE vocabulary file, as little-endian unsigned 16-bit numbers.
 
-    The vocabulary's pattern never joins what stands on the two sides of a single space or line feed
-    between other characters, so the ids of a word with the space before it are remembered. Texts with
-    other white space go to the library as they are.
+    Of two libraries that read the same vocabulary the faster one takes texts whose characters both
+    class alike (those below U+0250) and that hold no special token; the other one takes all others.
     """
 
     def __init__(self, json_path: str, ranks_path: str):
@@ -64,40 +64,14 @@ class Encoder:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks_path).read_bytes().splitlines())}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.line = self.library("\n")
 
-    def library(self, text: str) -> bytes:
-        if max(text, default="") < "ɐ" and not any(s in text for s in self.special):
-            ids = self.fast.encode_ordinary(text)  # the same ids, sooner
+    def encode(self, text: str) -> bytes:
+        if (text.isascii() or not _FAR.search(text)) and not any(s in text for s in self.special):
+            ids = self.fast.encode_ordinary(text)
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, "<u2").tobytes()
 
-    def word(self, word: str, spaced: bool) -> bytes:
-        known = self.known[spaced]
-        if len(known) >= CACHE:
-            known.clear()
-        found = known[word] = self.library(" " + word if spaced else word)
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        lines = text.split("\n")
-        plain = not any(c in text for c in _ODD) and not any(s in text for s in self.special)
-        if not plain or "  " in text or not all(x and x[0] != " " and x[-1] != " " for x in lines):
-            return self.library(text)
-        bare, spaced = self.known
-        out = []
-        for x in lines:
-            if out:
-                out.append(self.line)
-            first, *rest = x.split(" ")
-            out.append(bare.get(first) or self.word(first, False))
-            out += [spaced.get(w) or self.word(w, True) for w in rest]
-        return b"".join(out)
-
 
 def served(queues: list[tuple[int, int, list[int]]], whole: int, length: int) -> list[tuple[int, int]]:
     """(queue, document) in the order of service by deficit round-robin.
@@ -187,7 +161,8 @@ def in_lanes(ids: DataFrame, length: int, lane: int, weights: dict[str | None, f
     width = F.col("of_queue") / F.lit(lanes)  # tokens of the queue a lane, not whole
     placed = placed.withColumn("lane", F.least(F.floor(F.col("start") / width).cast("long"), F.lit(lanes - 1)))
     carried = (F.floor(F.col("lane") * width) - F.col("start")).cast("long")
-    return placed.select("lane", "queue", "weight", "start", carried.alias("carried"), "doc_id", "n", "ids"), whole
+    placed = placed.select("lane", "queue", "weight", "start", carried.alias("carried"), "doc_id", "n", "ids")
+    return placed.repartition(min(TASKS, -(-lanes // LANES_A_TASK)), "lane"), whole
 
 
 def pack(docs: DataFrame, length: int = LENGTH, paths: tuple[str, str] | None = None, weights: dict[str | None, float] | None = None, lane: int = LANE) -> DataFrame:
