@@ -4,17 +4,19 @@ P(word | state) = P(class | state) * P(word | class, state). The most frequent w
 them) are dealt to classes of CLASS words; the others fall into SHAPES classes by their letters, in
 which a word's share follows its count in the whole training corpus. All counts cover all training
 documents; the network's weights are fitted, by truncated backpropagation, on all of them too, each
-read once. Documents are scored whole: the state goes on from window to
+read once. Every task trains a copy of the weights on the documents that it reads, in rounds; after a
+round the copies are averaged in a tree. Documents are scored whole: the state goes on from window to
 window.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +24,18 @@ from lumora.llm.common import as_bytes, fold_column, fold_of, map_batches, store
 
 END = b"\n"  # no word: words have no white space
 VOCABULARY, CLASS, SHAPES, HIDDEN, WINDOW = 4096, 64, 16, 16, 32
-#: Words whose counts are broadcast, at most; the counts of all others are joined.
-HEAD = 131_072
+#: Words whose counts are broadcast, at most, and the bytes of the longest among them; the counts of all others are joined.
+HEAD, HEAD_BYTES = 131_072, 64
 #: Training goes in rounds, which read other rows each and together every row of the training documents.
 ROUNDS = 2
-#: Characters for a trainer, and trainers at most: their weights are averaged after a round.
-TRAINER_CHARS, TRAINERS = 1_500_000, 256
-#: Distinct words that a task counts before it passes them on.
-FLUSH = 300_000
-STREAMS, GROUP = 64, 1024
+#: Copies of the weights that are averaged at once.
+FAN = 32
+#: Distinct words that a task counts, and bytes of text that it reads, before it passes its counts on.
+FLUSH, FLUSH_BYTES = 300_000, 128_000_000
+#: Documents that a trainer reads side by side; longer ones than SEGMENT words are read in segments, side by side too.
+STREAMS, SEGMENT = 128, 1024
+#: Rows that are scored side by side, and words whose outputs are worked out at once.
+ROWS, OUTPUTS = 4096, 65_536
 
 _DE, _ES, _FR = (frozenset(s) for s in ("äöüß", "ñíóáú", "éèêëàçùûîïôâ"))
 
@@ -56,7 +61,7 @@ def counted(docs: DataFrame, held_out: int = 1) -> DataFrame:
     """word, shape, c (in training documents), n (in all): stored, a row a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, rest = Counter(), Counter()
+        train, rest, seen = Counter(), Counter(), 0
 
         def out() -> pa.RecordBatch:
             words = list(train.keys() | rest.keys())
@@ -69,7 +74,9 @@ def counted(docs: DataFrame, held_out: int = 1) -> DataFrame:
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), strict=True):
                 (rest if fold_of(doc) == held_out else train).update(tokens(text))
-                if len(train) + len(rest) > FLUSH:
+                seen += len(text)
+                if len(train) + len(rest) > FLUSH or seen > FLUSH_BYTES:
+                    seen = 0
                     yield out()
         if train or rest:
             yield out()
@@ -84,16 +91,17 @@ def counted(docs: DataFrame, held_out: int = 1) -> DataFrame:
 class Vocabulary:
     """The broadcast part of the counts: word -> (input number, count); numbers from VOCABULARY on are shapes."""
 
-    def __init__(self, head: list[tuple[bytes, int, int, int]], facts: dict, shapes: dict[int, tuple[int, int]]):
-        """head: (word, shape, c, n), most frequent first. shapes: (sum of c, words with c > 0) over the whole corpus."""
-        top = sorted(head[:VOCABULARY], key=lambda r: (r[1], -r[3], r[0]))
+    def __init__(self, head: list[tuple[bytes, int, int]], facts: dict, shapes: dict[int, tuple[int, int]]):
+        """head: (word, shape, c), most frequent first. shapes: (sum of c, words with c > 0) over the whole corpus."""
+        top = sorted(head[:VOCABULARY], key=lambda r: (r[1], -r[2], r[0]))
         self.classes = VOCABULARY // CLASS
-        self.known: dict[bytes, tuple[int, int]] = {w: (VOCABULARY + s, c) for w, s, c, _ in head}
-        self.known |= {w: (i, c) for i, (w, _, c, _) in enumerate(top)}
+        self.number: dict[bytes, int] = {w: VOCABULARY + s for w, s, _ in head}
+        self.number |= {w: i for i, (w, _, _) in enumerate(top)}
+        self.count: dict[bytes, int] = {w: c for w, _, c in head}
         self.counts = np.full(VOCABULARY, 1e-9)
-        self.counts[: len(top)] = [c + 0.5 for _, _, c, _ in top]
+        self.counts[: len(top)] = [c + 0.5 for _, _, c in top]
         sums = np.array([shapes.get(s, (0, 0)) for s in range(SHAPES)], float)
-        for _, s, c, _ in top:
+        for _, s, c in top:
             sums[s] -= (c, c > 0)
         #: log10 of what a shape's word counts, plus a half each, add up to, with one unknown word
         self.shape_mass = sums[:, 0] + 0.5 * (sums[:, 1] + 1)
@@ -101,17 +109,19 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
+    """Ranks words by their counts in training documents; words of more than HEAD_BYTES bytes are left to the join."""
     facts = counts.agg(F.sum("c").alias("total"), F.count(F.when(F.col("c") > 0, 1)).alias("distinct")).first().asDict()
-    octave = F.floor(8 * F.log2("n")).cast("int")
-    tops = sorted(((r["o"], r["k"]) for r in counts.groupBy(octave.alias("o")).agg(F.count("*").alias("k")).collect()), reverse=True)
-    least, seen = None, 0
-    for o, k in tops:
+    octave = F.floor(8 * F.log2("c")).cast("int")
+    short = counts.where((F.col("c") > 0) & (F.length("word") <= HEAD_BYTES)).select("word", "shape", "c", octave.alias("o"))
+    seen, least, chosen = 0, None, short.limit(0)
+    for o, k in sorted(((r["o"], r["k"]) for r in short.groupBy("o").agg(F.count("*").alias("k")).collect()), reverse=True):
         if seen + k > HEAD:
+            if seen < VOCABULARY:  # of an octave that is too large for the head, what the vocabulary still needs
+                chosen = short.where(F.col("o") == o).orderBy(F.desc("c"), "word").limit(VOCABULARY - seen)
             break
         least, seen = o, seen + k
-    chosen = counts.where(octave >= least) if least is not None else counts.limit(0)
-    head = [(bytes(r["word"]), r["shape"], r["c"], r["n"]) for r in chosen.collect()]
-    head.sort(key=lambda r: (-r[3], r[0]))
+    rows = chosen.collect() + (short.where(F.col("o") >= least).collect() if least is not None else [])
+    head = sorted(((bytes(r["word"]), r["shape"], r["c"]) for r in rows), key=lambda r: (-r[2], r[0]))
     shapes = {r["shape"]: (r["c"], r["v"]) for r in counts.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).collect()}
     return Vocabulary(head, facts, shapes)
 
@@ -146,57 +156,62 @@ def _step(w: dict, h: np.ndarray, x: np.ndarray):
     return c + z * (h - c), (z, r, m, c)
 
 
-def _loss(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log softmax of each row at one column, and the gradient of its negative; x is overwritten."""
-    rows = np.arange(len(at))
-    x -= x.max(axis=1, keepdims=True)
-    own = x[rows, at].astype(np.float64)
-    total = np.exp(x, out=x).sum(axis=1, keepdims=True)
-    x /= total
-    x[rows, at] -= 1
-    return own - np.log(total[:, 0]), x
+def _exp(x: np.ndarray) -> np.ndarray:
+    """exp in place, up to a factor a row where that is needed to stay finite; returns the logs of the factors or None."""
+    most = None
+    if len(x) and (x.max() > 60 or x.min() < -80):
+        most = x.max(axis=1)
+        x -= most[:, None]
+    np.exp(x, out=x)
+    return most
 
 
-def _chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log softmax of each row at one column; x is overwritten."""
-    most = x.max(axis=1, keepdims=True)
-    if most.max() > 60 or most.min() < -60:
-        x -= most
-    own = x[np.arange(len(at)), at].astype(np.float64)
-    return own - np.log(np.exp(x, out=x).sum(axis=1))
+def _softmax(x: np.ndarray, at: np.ndarray, log: bool) -> np.ndarray | None:
+    """x becomes the derivative of -log softmax(x)[at], row by row; or, with log, the log softmax at those places is returned."""
+    rows = np.arange(len(at))
+    if log:
+        own = x[rows, at].astype(np.float64)
+        most = _exp(x)
+        out = own - np.log(x.sum(axis=1))
+        return out if most is None else out - most
+    _exp(x)
+    x /= x.sum(axis=1, keepdims=True)
+    x[rows, at] -= 1
+    return None
 
 
-def _outputs(w: dict, h: np.ndarray, x: np.ndarray, classes: int, grad: dict | None = None):
-    """log P of inputs x from states h, without shapes' own shares; with grad, also d(-log P)/dh."""
+def _outputs(w: dict, h: np.ndarray, x: np.ndarray, classes: int, grad: dict | None = None) -> np.ndarray:
+    """log P of inputs x from states h, without shapes' own shares; with grad, adds to it and returns d(-log P)/dh instead."""
     cls = np.where(x < VOCABULARY, x // CLASS, classes + x - VOCABULARY)
+    order = np.argsort(cls, kind="stable")
+    h, cls, x = h[order], cls[order], x[order]
+    ends = np.searchsorted(cls, np.arange(classes + 1)).tolist()
     scores = h @ w["wc"]
     scores += w["bc"]
-    dh = None
-    if grad is None:
-        out = _chosen(scores, cls)
-    else:
-        out, d = _loss(scores, cls)
-        grad["wc"] += h.T @ d
-        grad["bc"] += d.sum(axis=0)
-        dh = d @ w["wc"].T
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(classes + 1))
+    out = _softmax(scores, cls, grad is None)
+    if grad is not None:
+        grad["wc"] += h.T @ scores
+        grad["bc"] += scores.sum(axis=0)
+        out = scores @ w["wc"].T
+    bo = w["bo"].reshape(-1, CLASS)
+    bo = bo - bo.max(axis=1, keepdims=True)
     for k in range(classes):
-        at = order[ends[k] : ends[k + 1]]
-        if not len(at):
+        a, b = ends[k], ends[k + 1]
+        if a == b:
             continue
-        own = slice(k * CLASS, (k + 1) * CLASS)
-        scores = h[at] @ w["wo"][own].T
-        scores += w["bo"][own] - w["bo"][own].max()
+        own, part = slice(k * CLASS, (k + 1) * CLASS), h[a:b]
+        scores = part @ w["wo"][own].T
+        scores += bo[k]
+        got = _softmax(scores, x[a:b] - k * CLASS, grad is None)
         if grad is None:
-            out[at] += _chosen(scores, x[at] - k * CLASS)
+            out[a:b] += got
         else:
-            lp, d = _loss(scores, x[at] - k * CLASS)
-            out[at] += lp
-            grad["wo"][own] += d.T @ h[at]
-            grad["bo"][own] += d.sum(axis=0)
-            dh[at] += d @ w["wo"][own]
-    return out, dh
+            grad["wo"][own] += scores.T @ part
+            grad["bo"][own] += scores.sum(axis=0)
+            out[a:b] += scores @ w["wo"][own]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
 def train(w: dict[str, np.ndarray], docs: Iterator[np.ndarray], classes: int, rate: float = 0.1) -> int:
@@ -235,7 +250,7 @@ def train(w: dict[str, np.ndarray], docs: Iterator[np.ndarray], classes: int, ra
         h[rows] = state
         grad = {k: np.zeros_like(x) for k, x in w.items() if k != "g"}
         flat = np.concatenate(xs)
-        _, dflat = _outputs(w, np.concatenate(states), flat, classes, grad)
+        dflat = _outputs(w, np.concatenate(states), flat, classes, grad)
         at, dh, u = len(flat), np.zeros((0, HIDDEN), np.float32), w["u"]
         dg = np.zeros((len(flat), 3 * HIDDEN), np.float32)
         for t in range(length - 1, -1, -1):
@@ -266,33 +281,43 @@ def train(w: dict[str, np.ndarray], docs: Iterator[np.ndarray], classes: int, ra
 def score_batch(w: dict, ids: list[np.ndarray], classes: int) -> np.ndarray:
     """log P of each document, in nats, without shapes' own shares."""
     total = np.zeros(len(ids))
-    order = sorted(range(len(ids)), key=lambda i: -len(ids[i]))
-    for a in range(0, len(order), GROUP):
-        group = order[a : a + GROUP]
-        lens = np.array([len(ids[i]) for i in group])
-        starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        flat = np.concatenate([ids[i] for i in group])
-        longest = int(lens[0]) if len(lens) else 0
-        alive = np.searchsorted(-lens, -np.arange(longest), side="left")
-        h = np.zeros((len(group), HIDDEN), np.float32)
-        for t0 in range(0, longest, WINDOW):
-            states, xs, owner = [], [], []
-            for t in range(t0, min(t0 + WINDOW, longest)):
-                n = alive[t]
-                h = h[:n]
-                x = flat[starts[:n] + t]
-                states.append(h)
-                xs.append(x)
-                owner.append(np.arange(n))
-                h, _ = _step(w, h, x)
-            lp, _ = _outputs(w, np.concatenate(states), np.concatenate(xs), classes)
-            total[group] += np.bincount(np.concatenate(owner), weights=lp, minlength=len(group))
+    order = np.array(sorted(range(len(ids)), key=lambda i: -len(ids[i])), np.int64)
+    if not len(order):
+        return total
+    lens = np.array([len(ids[i]) for i in order])
+    starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+    flat = np.concatenate([ids[i] for i in order])
+    longest = int(lens[0])
+    alive = np.searchsorted(-lens, -np.arange(longest), side="left")
+    h, t = np.zeros((len(order), HIDDEN), np.float32), 0
+    while t < longest:
+        states, xs, owner, left = [], [], [], OUTPUTS
+        while t < longest and left > 0:
+            n = alive[t]
+            h = h[:n]
+            x = flat[starts[:n] + t]
+            states.append(h)
+            xs.append(x)
+            owner.append(np.arange(n))
+            h, _ = _step(w, h, x)
+            t, left = t + 1, left - max(n, OUTPUTS // 4096)
+        lp = _outputs(w, np.concatenate(states), np.concatenate(xs), classes)
+        total[order] += np.bincount(np.concatenate(owner), weights=lp, minlength=len(order))
     return total
 
 
 def numbers(text: bytes, v: Vocabulary) -> np.ndarray:
-    get = v.known.get
-    return np.array([k[0] if (k := get(t)) else VOCABULARY + shape(t) for t in tokens(text)], np.int32)
+    words, get = tokens(text), v.number.get
+    out = np.array([get(t, -1) for t in words], np.int32)
+    for k in np.flatnonzero(out < 0).tolist():
+        out[k] = VOCABULARY + shape(words[k])
+    return out
+
+
+def segments(texts: Iterable[bytes], v: Vocabulary) -> Iterator[np.ndarray]:
+    for t in texts:
+        x = numbers(t, v)
+        yield from (x[a : a + SEGMENT] for a in range(0, len(x), SEGMENT))
 
 
 def _bytes(w: dict[str, np.ndarray]) -> bytes:
@@ -307,36 +332,52 @@ def _weights(raw: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def fit(docs: DataFrame, v: Vocabulary, held_out: int = 1, rounds: int = ROUNDS, share: int | None = None) -> dict[str, np.ndarray]:
-    """Rounds of local training on 1/share of the training rows each, and of averaging by tokens read. Without share the rounds read them all."""
+def averaged(copies: DataFrame) -> bytes:
+    """The mean of the copies by tokens read: FAN of them at a time, in the order of their numbers. b"" without any.
+
+    copies: trainer, block, read, w: stored; a copy is cut into blocks.
+    """
+
+    def mean(t: pa.Table) -> pa.Table:
+        t = t.sort_by("trainer")
+        n = np.asarray(t["read"], np.float64)
+        x = np.stack([np.frombuffer(b, np.float32) for b in t["w"].to_pylist()])
+        return pa.table({"trainer": t["group"][:1], "block": t["block"][:1], "read": pa.array([n.sum()]), "w": pa.array([((n / n.sum()) @ x).astype(np.float32).tobytes()], pa.binary())})
+
+    while True:
+        last = copies.agg(F.max("trainer")).first()[0]
+        if not last:
+            break
+        grouped = copies.withColumn("group", F.floor(F.col("trainer") / FAN).cast("int")).groupBy("group", "block")
+        copies = stored(grouped.applyInArrow(mean, "trainer int, block int, read double, w binary"))
+    return b"".join(bytes(r["w"]) for r in copies.orderBy("block").select("w").collect())
+
+
+def fit(docs: DataFrame, v: Vocabulary, held_out: int = 1, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Rounds of local training, on other training rows each and together on all, and of averaging by tokens read.
+
+    Each task trains on the rows that it reads, in their order; texts are not moved.
+    """
     spark = docs.sparkSession
     w, block = start_weights(v), 1 << 14
     vocab = spark.sparkContext.broadcast(v)
     text = docs.where(fold_column() != held_out).select("doc_id", "text").where("text is not null")
     for k in range(rounds):
-        part = text.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(share or rounds)) == k)
-        chars = part.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+        part = text.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(rounds)) == k).select("text")
         now = spark.sparkContext.broadcast(w)
-        trainers = int(min(TRAINERS, max(1, -(-chars // TRAINER_CHARS))))
 
         def run(batches: Iterator[pa.RecordBatch], now=now, rate=0.1 / (1 + k)) -> Iterator[pa.RecordBatch]:
             own = {n: x.copy() for n, x in now.value.items()}
             texts = (t for b in batches for t in as_bytes(b.column("text")))
-            read = train(own, (numbers(t, vocab.value) for t in texts), vocab.value.classes, rate)
-            raw = np.frombuffer(_bytes(own), np.float32)
+            read = train(own, segments(texts, vocab.value), vocab.value.classes, rate)
+            raw, me = np.frombuffer(_bytes(own), np.float32), TaskContext.get().partitionId()
             if read:
                 cut = range(0, len(raw), block)
-                yield pa.RecordBatch.from_arrays([pa.array([a // block for a in cut], pa.int32()), pa.array([float(read)] * len(cut)), pa.array([raw[a : a + block].tobytes() for a in cut], pa.binary())], names=["block", "read", "w"])
-
-        def mean(t: pa.Table) -> pa.Table:
-            n = np.array(t.column("read").to_pylist())
-            x = np.stack([np.frombuffer(b, np.float32) for b in t.column("w").to_pylist()])
-            return pa.table({"block": t.column("block")[:1], "w": pa.array([((n / n.sum()) @ x).astype(np.float32).tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_arrays([pa.array([me] * len(cut), pa.int32()), pa.array([a // block for a in cut], pa.int32()), pa.array([float(read)] * len(cut)), pa.array([raw[a : a + block].tobytes() for a in cut], pa.binary())], names=["trainer", "block", "read", "w"])
 
-        moved = part.select("text").repartition(trainers).mapInArrow(run, "block int, read double, w binary")
-        got = sorted((r["block"], bytes(r["w"])) for r in moved.groupBy("block").applyInArrow(mean, "block int, w binary").collect())
+        got = averaged(stored(part.mapInArrow(run, "trainer int, block int, read double, w binary")))
         if got:
-            w = _weights(b"".join(x for _, x in got), w)
+            w = _weights(got, w)
     return w
 
 
@@ -355,15 +396,15 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, w: dict[str, np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
         mass = np.log10(v.shape_mass)
-        place = {word: i for i, word in enumerate(v.known)}
-        number = np.array([n for n, _ in v.known.values()] or [0], np.int32)
-        count = np.array([c for _, c in v.known.values()] or [0], np.float64)
+        place = {word: i for i, word in enumerate(v.number)}
+        number = np.array(list(v.number.values()) or [0], np.int32)
+        count = np.array([v.count[w] for w in place] or [0], np.float64)
         base = np.log10(count + 0.5)
         more = np.where(number >= VOCABULARY, base - mass[np.maximum(number - VOCABULARY, 0)], 0.0)
         get = place.get
         for big in batches:
-            for at in range(0, big.num_rows, 2 * GROUP):
-                b = big.slice(at, 2 * GROUP)
+            for at in range(0, big.num_rows, ROWS):
+                b = big.slice(at, ROWS)
                 words: list[bytes] = []
                 lens = []
                 for text in as_bytes(b.column("text")):

@@ -294,12 +294,12 @@ def test_count_tree_loses_no_link():
 
 def test_language_model_sums_to_one_and_learns():
     words = [f"w{i}".encode() for i in range(30)] + [lm.END]
-    head = [(w, lm.shape(w), 10, 10) for w in words]
+    head = [(w, lm.shape(w), 10) for w in words]
     v = lm.Vocabulary(head, {"total": 310, "distinct": 31}, {lm.shape(w): (10 * sum(lm.shape(x) == lm.shape(w) for x in words), sum(lm.shape(x) == lm.shape(w) for x in words)) for w in words})
     w = lm.start_weights(v)
     h = np.random.default_rng(0).normal(size=(1, lm.HIDDEN)).astype(np.float32)
     every = np.arange(lm.VOCABULARY + lm.SHAPES)
-    lp, _ = lm._outputs(w, np.repeat(h, len(every), axis=0), every, v.classes)
+    lp = lm._outputs(w, np.repeat(h, len(every), axis=0), every, v.classes)
     assert abs(np.exp(lp).sum() - 1) < 1e-4
     text = b" ".join([b"w1", b"w2", b"w3", b"w4"] * 30)
     ids = lm.numbers(text, v)
@@ -314,14 +314,14 @@ def test_language_model_sums_to_one_and_learns():
 
 
 def test_gradients_of_the_language_model():
-    v = lm.Vocabulary([(b"a", 6, 5, 5), (b"b", 6, 5, 5), (lm.END, 5, 5, 5)], {"total": 15, "distinct": 3}, {6: (10, 2), 5: (5, 1)})
+    v = lm.Vocabulary([(b"a", 6, 5), (b"b", 6, 5), (lm.END, 5, 5)], {"total": 15, "distinct": 3}, {6: (10, 2), 5: (5, 1)})
     w = {k: x.astype(np.float64) for k, x in lm.start_weights(v).items()}
     rng = np.random.default_rng(1)
     h = rng.normal(size=(6, lm.HIDDEN))
     x = np.array([0, 1, 2, lm.VOCABULARY, 1, 0])
     grad = {k: np.zeros_like(y) for k, y in w.items()}
-    _, dh = lm._outputs(w, h, x, v.classes, grad)
-    loss = lambda: -lm._outputs(w, h, x, v.classes)[0].sum()
+    dh = lm._outputs(w, h, x, v.classes, grad)
+    loss = lambda: -lm._outputs(w, h, x, v.classes).sum()
     for a, g, at in ((w["wc"], grad["wc"], (3, 1)), (w["wo"], grad["wo"], (1, 2)), (w["bo"], grad["bo"], (0,)), (h, dh, (4, 5))):
         old = a[at]
         a[at] = old + 1e-5

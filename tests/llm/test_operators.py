@@ -58,7 +58,7 @@ def lower(t):
 def test_language_model(spark, docs, none, rows):
     counts = lm.counted(docs)
     v = lm.vocabulary(counts)
-    got = lm.score(docs, counts, v, lm.fit(docs, v, share=2)).collect()
+    got = lm.score(docs, counts, v, lm.fit(docs, v)).collect()
     tokens = [([*words(lower(r[1])), "\n"], r[0]) for r in rows]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
     c = Counter(t for ts, i in tokens if not held(i) for t in ts)
@@ -73,6 +73,29 @@ def test_language_model(spark, docs, none, rows):
     assert lm.score(docs, empty, w, lm.start_weights(w)).where("score >= 0 or isnan(score) or n_known != 0").count() == 0
 
 
+def test_held_out_texts_teach_nothing(spark, docs, rows):
+    """Other held-out texts leave the vocabulary and every weight as they are; two runs agree to the bit."""
+    changed = spark.createDataFrame([(r[0], "only held out here " * 40, *r[2:]) if lm.fold_of(r[0]) == 1 else tuple(r) for r in rows], SCHEMA).repartition(3)
+    plain = spark.createDataFrame([tuple(r) for r in rows], SCHEMA).repartition(3)
+    fits = []
+    for df in (plain, plain, changed):
+        df = stored(df)
+        v = lm.vocabulary(lm.counted(df))
+        fits.append((v, lm.fit(df.orderBy("doc_id", F.xxhash64("source")).coalesce(2), v)))
+    for v, w in fits[1:]:
+        assert v.number == fits[0][0].number and v.count == fits[0][0].count and (v.shape_mass == fits[0][0].shape_mass).all()
+        assert all((w[k] == fits[0][1][k]).all() for k in w)
+
+
+def test_copies_of_weights_are_averaged_in_a_tree(spark):
+    rng = np.random.default_rng(0)
+    x, n = rng.normal(size=(70, 2, 5)).astype(np.float32), rng.integers(1, 100, 70)
+    df = stored(spark.createDataFrame([(i, b, float(n[i]), x[i, b].tobytes()) for i in range(70) for b in range(2)], "trainer int, block int, read double, w binary"))
+    got = np.frombuffer(lm.averaged(df), np.float32).reshape(2, 5)
+    assert np.allclose(got, np.einsum("t,tbk->bk", n / n.sum(), x), atol=1e-5)
+    assert lm.averaged(df.where("false")) == b""
+
+
 def test_every_training_document_is_trained_on(spark, docs, rows, monkeypatch, tmp_path):
     v, learn = lm.vocabulary(lm.counted(docs)), lm.train
 
@@ -94,7 +117,7 @@ def test_rare_words_are_joined(spark, docs, monkeypatch):
     want = {(r.doc_id, round(r.base_score, 6), r.n_known) for r in lm.score(docs, counts, every, w).collect()}
     monkeypatch.setattr(lm, "HEAD", 50)
     few = lm.vocabulary(counts)
-    assert 0 < len(few.known) <= 50
+    assert lm.VOCABULARY >= len(few.number) > 50 and len(few.number) < len(every.number)  # the head gives way to the vocabulary
     assert {(r.doc_id, round(r.base_score, 6), r.n_known) for r in lm.score(docs, counts, few, lm.start_weights(few)).collect()} == want
 
 
