@@ -11,16 +11,16 @@ window.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import as_bytes, fold_column, fold_of, map_batches, stored, table
+from lumora.llm.common import fold_column, map_batches, stored, table
 
 END = b"\n"  # no word: words have no white space
 VOCABULARY, CLASS, SHAPES, HIDDEN, WINDOW = 4096, 64, 16, 16, 32
@@ -30,12 +30,10 @@ HEAD, HEAD_BYTES = 131_072, 64
 ROUNDS = 2
 #: Copies of the weights that are averaged at once.
 FAN = 32
-#: Distinct words that a task counts, and bytes of text that it reads, before it passes its counts on.
-FLUSH, FLUSH_BYTES = 300_000, 128_000_000
 #: Documents that a trainer reads side by side; longer ones than SEGMENT words are read in segments, side by side too.
 STREAMS, SEGMENT = 128, 1024
 #: Rows that are scored side by side, and words whose outputs are worked out at once.
-ROWS, OUTPUTS = 4096, 65_536
+ROWS, OUTPUTS = 2500, 32_768
 
 _DE, _ES, _FR = (frozenset(s) for s in ("äöüß", "ñíóáú", "éèêëàçùûîïôâ"))
 
@@ -51,53 +49,48 @@ def shape(word: bytes) -> int:
     return 6 + (w[-1] * 31 + (w[-2] if len(w) > 1 else 0) * 7) % (SHAPES - 6)
 
 
-def tokens(text: bytes) -> list[bytes]:
-    words = text.lower().split()
-    words.append(END)
-    return words
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, without the ends, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    flat, n = lists.flatten(), np.asarray(lists.value_lengths(), np.int64)
+    full = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    if not full.all():  # around white space at an end of a text
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[full], minlength=len(n))
+        flat = flat.filter(pa.array(full))
+    return flat, n
 
 
 def counted(docs: DataFrame, held_out: int = 1) -> DataFrame:
-    """word, shape, c (in training documents), n (in all): stored, a row a word."""
+    """word, shape, c: a row a word of the training documents, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, rest, seen = Counter(), Counter(), 0
-
-        def out() -> pa.RecordBatch:
-            words = list(train.keys() | rest.keys())
-            c = [train[w] for w in words]
-            n = [a + rest[w] for a, w in zip(c, words, strict=True)]
-            train.clear()
-            rest.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["word", "c", "n"])
-
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), strict=True):
-                (rest if fold_of(doc) == held_out else train).update(tokens(text))
-                seen += len(text)
-                if len(train) + len(rest) > FLUSH or seen > FLUSH_BYTES:
-                    seen = 0
-                    yield out()
-        if train or rest:
-            yield out()
+            if b.num_rows:
+                words, n = tokens(b.column("text"))
+                words = words.dictionary_encode()
+                c = np.bincount(np.asarray(words.indices), minlength=len(words.dictionary))
+                names = [*words.dictionary.cast(pa.large_binary()).to_pylist(), END]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.append(c, len(n)), pa.int64())], names=["word", "c"])
 
     def shaped(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(map(shape, b.column("word").to_pylist()), pa.int32())], names=["word", "c", "n", "shape"])
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(map(shape, b.column("word").to_pylist()), pa.int32())], names=["word", "c", "shape"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-    return stored(map_batches(rows.select("word", "c", "n"), shaped, "word binary, c long, n long, shape int"))
+    rows = docs.where(fold_column() != held_out).select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return stored(map_batches(rows, shaped, "word binary, c long, shape int"))
 
 
 class Vocabulary:
-    """The broadcast part of the counts: word -> (input number, count); numbers from VOCABULARY on are shapes."""
+    """The broadcast part of the counts; input numbers from VOCABULARY on are shapes."""
 
     def __init__(self, head: list[tuple[bytes, int, int]], facts: dict, shapes: dict[int, tuple[int, int]]):
         """head: (word, shape, c), most frequent first. shapes: (sum of c, words with c > 0) over the whole corpus."""
         top = sorted(head[:VOCABULARY], key=lambda r: (r[1], -r[2], r[0]))
         self.classes = VOCABULARY // CLASS
-        self.number: dict[bytes, int] = {w: VOCABULARY + s for w, s, _ in head}
-        self.number |= {w: i for i, (w, _, _) in enumerate(top)}
-        self.count: dict[bytes, int] = {w: c for w, _, c in head}
+        #: the head's words, their input numbers, and their counts
+        self.words = [w for w, _, _ in head]
+        number = {w: i for i, (w, _, _) in enumerate(top)}
+        self.number = np.array([number.get(w, VOCABULARY + s) for w, s, _ in head] or [0], np.int32)
+        self.count = np.array([c for _, _, c in head] or [0], np.float64)
         self.counts = np.full(VOCABULARY, 1e-9)
         self.counts[: len(top)] = [c + 0.5 for _, _, c in top]
         sums = np.array([shapes.get(s, (0, 0)) for s in range(SHAPES)], float)
@@ -120,8 +113,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
                 chosen = short.where(F.col("o") == o).orderBy(F.desc("c"), "word").limit(VOCABULARY - seen)
             break
         least, seen = o, seen + k
+    ends = short.where(F.col("word") == F.lit(END))  # always in the head
     rows = chosen.collect() + (short.where(F.col("o") >= least).collect() if least is not None else [])
-    head = sorted(((bytes(r["word"]), r["shape"], r["c"]) for r in rows), key=lambda r: (-r[2], r[0]))
+    head = sorted({(bytes(r["word"]), r["shape"], r["c"]) for r in [*rows, *ends.collect()]}, key=lambda r: (-r[2], r[0]))
     shapes = {r["shape"]: (r["c"], r["v"]) for r in counts.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).collect()}
     return Vocabulary(head, facts, shapes)
 
@@ -143,72 +137,93 @@ def start_weights(v: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     return {k: x.astype(np.float32) for k, x in w.items()}
 
 
-def _step(w: dict, h: np.ndarray, x: np.ndarray):
+def _inputs(w: dict, x: np.ndarray) -> np.ndarray:
+    """What inputs add to the gates; halved where the logistic function, as a tanh, wants half of it."""
+    g = w["g"][x]
+    g[:, : 2 * HIDDEN] *= 0.5
+    return g
+
+
+def _recurrent(w: dict) -> np.ndarray:
+    u = w["u"].copy()
+    u[:, : 2 * HIDDEN] *= 0.5
+    return u
+
+
+def _step(u: np.ndarray, h: np.ndarray, g: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+    """The next state from the last one, by _recurrent weights and _inputs. keep: takes both gates, what the reset gate weighs, and the candidate."""
     n = HIDDEN
-    g, hu = w["g"][x], h @ w["u"]
-    zr = g[:, : 2 * n] + hu[:, : 2 * n]
-    zr *= 0.5
-    np.tanh(zr, out=zr)
-    zr += 1
-    zr *= 0.5  # the logistic function
-    z, r, m = zr[:, :n], zr[:, n:], hu[:, 2 * n :]
-    c = np.tanh(g[:, 2 * n :] + r * m)
-    return c + z * (h - c), (z, r, m, c)
-
-
-def _exp(x: np.ndarray) -> np.ndarray:
-    """exp in place, up to a factor a row where that is needed to stay finite; returns the logs of the factors or None."""
-    most = None
-    if len(x) and (x.max() > 60 or x.min() < -80):
+    hu = h @ u
+    gates = g[:, : 2 * n] + hu[:, : 2 * n]
+    np.tanh(gates, out=gates)
+    gates += 1
+    gates *= 0.5
+    z = gates[:, :n]
+    c = gates[:, n:] * hu[:, 2 * n :]
+    c += g[:, 2 * n :]
+    np.tanh(c, out=c)
+    if keep is not None:
+        keep[:, : 2 * n], keep[:, 2 * n : 3 * n], keep[:, 3 * n :] = gates, hu[:, 2 * n :], c
+    new = h - c
+    new *= z
+    new += c
+    return new
+
+
+def _odds(part: np.ndarray, weights: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """exp(part @ weights), by rows up to factors whose logs are given too, where not all of it is sure to be finite."""
+    x, most = part @ weights, None
+    if not safe:
         most = x.max(axis=1)
         x -= most[:, None]
-    np.exp(x, out=x)
-    return most
-
-
-def _softmax(x: np.ndarray, at: np.ndarray, log: bool) -> np.ndarray | None:
-    """x becomes the derivative of -log softmax(x)[at], row by row; or, with log, the log softmax at those places is returned."""
-    rows = np.arange(len(at))
-    if log:
-        own = x[rows, at].astype(np.float64)
-        most = _exp(x)
-        out = own - np.log(x.sum(axis=1))
-        return out if most is None else out - most
-    _exp(x)
-    x /= x.sum(axis=1, keepdims=True)
-    x[rows, at] -= 1
-    return None
+    return np.exp(x, out=x), most
 
 
 def _outputs(w: dict, h: np.ndarray, x: np.ndarray, classes: int, grad: dict | None = None) -> np.ndarray:
-    """log P of inputs x from states h, without shapes' own shares; with grad, adds to it and returns d(-log P)/dh instead."""
+    """log P of inputs x from states h, without shapes' own shares; with grad, adds to it and returns d(-log P)/dh instead.
+
+    States lie between -1 and 1, so the sum of a row's absolute weights bounds what it adds to a bias.
+    """
     cls = np.where(x < VOCABULARY, x // CLASS, classes + x - VOCABULARY)
-    order = np.argsort(cls, kind="stable")
-    h, cls, x = h[order], cls[order], x[order]
-    ends = np.searchsorted(cls, np.arange(classes + 1)).tolist()
-    scores = h @ w["wc"]
-    scores += w["bc"]
-    out = _softmax(scores, cls, grad is None)
-    if grad is not None:
-        grad["wc"] += h.T @ scores
-        grad["bc"] += scores.sum(axis=0)
-        out = scores @ w["wc"].T
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    cls, x = cls[order], x[order]
+    ends, n = np.searchsorted(cls, np.arange(classes + 1)).tolist(), np.arange(len(x))
+    ones = np.empty((len(x), HIDDEN + 1), h.dtype)  # the last column stands for the bias
+    ones[:, :-1], ones[:, -1] = h[order], 1
     bo = w["bo"].reshape(-1, CLASS)
-    bo = bo - bo.max(axis=1, keepdims=True)
+    inner = np.concatenate([w["wo"], (bo - bo.max(axis=1, keepdims=True)).reshape(-1, 1)], axis=1)
+    outer = np.concatenate([w["wc"], (w["bc"] - w["bc"].max())[None, :]])
+    safe = max(np.abs(w["wo"]).sum(axis=1).max(initial=0), np.abs(w["wc"]).sum(axis=0).max(initial=0)) < 40
+    wo, out = w["wo"], np.zeros(len(x)) if grad is None else np.zeros(h.shape, h.dtype)
+
+    def softmax(part: np.ndarray, weights: np.ndarray, at: np.ndarray, rows: slice) -> np.ndarray | None:
+        p, most = _odds(part, weights, safe)
+        if grad is None:
+            # the score itself is taken again, as an exp of it may have become 0
+            own = np.einsum("ij,ji->i", part, weights[:, at]) - (0 if most is None else most)
+            out[rows] += own - np.log(p.sum(axis=1))
+            return None
+        p /= p.sum(axis=1, keepdims=True)
+        p[n[: len(at)], at] -= 1
+        return p
+
+    p = softmax(ones, outer, cls, slice(None))
+    if p is not None:
+        d = ones.T @ p
+        grad["wc"] += d[:-1]
+        grad["bc"] += d[-1]
+        out += p @ w["wc"].T
     for k in range(classes):
         a, b = ends[k], ends[k + 1]
         if a == b:
             continue
-        own, part = slice(k * CLASS, (k + 1) * CLASS), h[a:b]
-        scores = part @ w["wo"][own].T
-        scores += bo[k]
-        got = _softmax(scores, x[a:b] - k * CLASS, grad is None)
-        if grad is None:
-            out[a:b] += got
-        else:
-            grad["wo"][own] += scores.T @ part
-            grad["bo"][own] += scores.sum(axis=0)
-            out[a:b] += scores @ w["wo"][own]
+        own = slice(k * CLASS, (k + 1) * CLASS)
+        p = softmax(ones[a:b], inner[own].T, x[a:b] - k * CLASS, slice(a, b))
+        if p is not None:
+            d = p.T @ ones[a:b]
+            grad["wo"][own] += d[:, :-1]
+            grad["bo"][own] += d[:, -1]
+            out[a:b] += p @ wo[own]
     back = np.empty_like(out)
     back[order] = out
     return back
@@ -239,36 +254,41 @@ def train(w: dict[str, np.ndarray], docs: Iterator[np.ndarray], classes: int, ra
         by_time = np.zeros((length, len(rows)), np.int64)
         for k, s in enumerate(window):
             by_time[: len(s), k] = s
-        state, past, states, xs = h[rows], [], [], []
-        for t, n in enumerate(np.searchsorted(-lens, -np.arange(length))):
-            x = by_time[t, :n]
-            states.append(state[:n])
-            xs.append(x)
-            new, kept = _step(w, state[:n], x)
-            past.append(kept)
-            state = np.concatenate([new, state[n:]])
+        alive = np.searchsorted(-lens, -np.arange(length))
+        flat = np.concatenate([by_time[t, :n] for t, n in enumerate(alive)])
+        ends, m, n_all = np.cumsum(alive).tolist(), HIDDEN, len(flat)
+        inputs, u = _inputs(w, flat), _recurrent(w)
+        states, kept = np.empty((n_all, m), np.float32), np.empty((n_all, 4 * m), np.float32)
+        state = h[rows]
+        for n, b in zip(alive.tolist(), ends, strict=True):
+            a = b - n
+            states[a:b] = state[:n]
+            state[:n] = _step(u, state[:n], inputs[a:b], kept[a:b])
         h[rows] = state
         grad = {k: np.zeros_like(x) for k, x in w.items() if k != "g"}
-        flat = np.concatenate(xs)
-        dflat = _outputs(w, np.concatenate(states), flat, classes, grad)
-        at, dh, u = len(flat), np.zeros((0, HIDDEN), np.float32), w["u"]
-        dg = np.zeros((len(flat), 3 * HIDDEN), np.float32)
-        for t in range(length - 1, -1, -1):
-            n = len(xs[t])
-            dh = np.concatenate([dh, np.zeros((n - len(dh), HIDDEN), np.float32)])
-            z, r, m, c = past[t]
-            before = states[t]
-            da = dh * (1 - z) * (1 - c * c)
-            dz, dr = dh * (before - c) * z * (1 - z), da * m * r * (1 - r)
-            dhu = np.concatenate([dz, dr, da * r], axis=1)
-            dg[at - n : at] = np.concatenate([dz, dr, da], axis=1)
-            grad["u"] += before.T @ dhu
-            dh = dh * z + dhu @ u.T + dflat[at - n : at]
-            at -= n
+        dflat = _outputs(w, states, flat, classes, grad)
+        z, r, past, c = (kept[:, i * m : (i + 1) * m] for i in range(4))
+        by_z, by_a = (states - c) * z * (1 - z), (1 - z) * (1 - c * c)
+        by_r = past * r * (1 - r)
+        dg, dhu, back = np.empty((n_all, 3 * m), np.float32), np.empty((n_all, 3 * m), np.float32), w["u"].T.copy()
+        dh = np.zeros((len(rows), m), np.float32)
+        for n, b in zip(alive.tolist()[::-1], ends[::-1], strict=True):
+            a = b - n
+            d, g, hu = dh[:n], dg[a:b], dhu[a:b]
+            np.multiply(d, by_z[a:b], out=g[:, :m])
+            np.multiply(d, by_a[a:b], out=g[:, 2 * m :])
+            np.multiply(g[:, 2 * m :], by_r[a:b], out=g[:, m : 2 * m])
+            hu[:, : 2 * m] = g[:, : 2 * m]
+            np.multiply(g[:, 2 * m :], r[a:b], out=hu[:, 2 * m :])
+            d *= z[a:b]
+            d += hu @ back
+            d += dflat[a:b]
+        grad["u"] += states.T @ dhu
         read += len(flat)
         # only the inputs that occur have a gradient
-        order = np.argsort(flat, kind="stable")
-        own, starts = np.unique(flat[order], return_index=True)
+        order = np.argsort(flat.astype(np.int16), kind="stable")
+        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        own = flat[order[starts]]
         g = np.add.reduceat(dg[order], starts) / np.float32(len(flat))
         square["g"][own] += g * g
         w["g"][own] -= rate * g / np.sqrt(square["g"][own])
@@ -290,34 +310,57 @@ def score_batch(w: dict, ids: list[np.ndarray], classes: int) -> np.ndarray:
     longest = int(lens[0])
     alive = np.searchsorted(-lens, -np.arange(longest), side="left")
     h, t = np.zeros((len(order), HIDDEN), np.float32), 0
+    u = _recurrent(w)
     while t < longest:
-        states, xs, owner, left = [], [], [], OUTPUTS
+        first, left = t, OUTPUTS
         while t < longest and left > 0:
-            n = alive[t]
+            left -= max(int(alive[t]), OUTPUTS // 4096)
+            t += 1
+        live = alive[first:t].tolist()
+        owner = np.concatenate([np.arange(n) for n in live])
+        x = flat[starts[owner] + np.repeat(np.arange(first, t), live)]
+        inputs, states, b = _inputs(w, x), np.empty((len(x), HIDDEN), np.float32), 0
+        for n in live:
             h = h[:n]
-            x = flat[starts[:n] + t]
-            states.append(h)
-            xs.append(x)
-            owner.append(np.arange(n))
-            h, _ = _step(w, h, x)
-            t, left = t + 1, left - max(n, OUTPUTS // 4096)
-        lp = _outputs(w, np.concatenate(states), np.concatenate(xs), classes)
-        total[order] += np.bincount(np.concatenate(owner), weights=lp, minlength=len(order))
+            states[b : b + n] = h
+            h = _step(u, h, inputs[b : b + n])
+            b += n
+        lp = _outputs(w, states, x, classes)
+        total[order] += np.bincount(owner, weights=lp, minlength=len(order))
     return total
 
 
-def numbers(text: bytes, v: Vocabulary) -> np.ndarray:
-    words, get = tokens(text), v.number.get
-    out = np.array([get(t, -1) for t in words], np.int32)
-    for k in np.flatnonzero(out < 0).tolist():
-        out[k] = VOCABULARY + shape(words[k])
-    return out
-
-
-def segments(texts: Iterable[bytes], v: Vocabulary) -> Iterator[np.ndarray]:
-    for t in texts:
-        x = numbers(t, v)
-        yield from (x[a : a + SEGMENT] for a in range(0, len(x), SEGMENT))
+class Reader:
+    """Texts as input numbers."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.head = v, pc.SetLookupOptions(pa.array(v.words, pa.large_binary()).cast(pa.large_string(), safe=False))
+        at = [i for i, w in enumerate(v.words) if w == END]
+        self.end = at[0] if at else -1
+        self.end_number = v.number[self.end] if at else VOCABULARY + shape(END)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(numbers, places in the head or -1, tokens a text) with the ends, and (text, word) of the words that the head lacks, with the words."""
+        words, n = tokens(texts)
+        found = np.asarray(pc.index_in(words, options=self.head).fill_null(-1), np.int64)
+        x = self.v.number[found]
+        rare = np.flatnonzero(found < 0)
+        other = words.take(pa.array(rare)).dictionary_encode()
+        code, names = np.asarray(other.indices, np.int64), other.dictionary
+        if len(rare):
+            x[rare] = np.array([VOCABULARY + shape(w) for w in names.cast(pa.large_binary()).to_pylist()], np.int32)[code]
+        owner = np.repeat(np.arange(len(n)), n)
+        place, ends = np.arange(len(x)) + owner, np.cumsum(n + 1) - 1
+        out, where = np.full(len(x) + len(n), self.end_number, np.int32), np.full(len(x) + len(n), self.end, np.int64)
+        out[place], where[place] = x, found
+        return out, where, n + 1, owner[rare], code, names
+
+    def segments(self, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for big in batches:
+            for at in range(0, big.num_rows, ROWS):
+                x, _, n, *_ = self(big.column(0).slice(at, ROWS))
+                for t in np.split(x, np.cumsum(n)[:-1]):
+                    yield from (t[a : a + SEGMENT] for a in range(0, len(t), SEGMENT))
 
 
 def _bytes(w: dict[str, np.ndarray]) -> bytes:
@@ -368,8 +411,7 @@ def fit(docs: DataFrame, v: Vocabulary, held_out: int = 1, rounds: int = ROUNDS)
 
         def run(batches: Iterator[pa.RecordBatch], now=now, rate=0.1 / (1 + k)) -> Iterator[pa.RecordBatch]:
             own = {n: x.copy() for n, x in now.value.items()}
-            texts = (t for b in batches for t in as_bytes(b.column("text")))
-            read = train(own, segments(texts, vocab.value), vocab.value.classes, rate)
+            read = train(own, Reader(vocab.value).segments(batches), vocab.value.classes, rate)
             raw, me = np.frombuffer(_bytes(own), np.float32), TaskContext.get().partitionId()
             if read:
                 cut = range(0, len(raw), block)
@@ -389,45 +431,34 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, w: dict[str, np.nda
     """
     spark = docs.sparkSession
     vocab, weights = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(w)
-    names = ["doc_id", "row", "n_tokens", "n_known", "head", "score", "rare"]
+    columns = ["doc_id", "row", "n_tokens", "n_known", "head", "score", "rare"]
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
     log_e = float(np.log10(np.e))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
         mass = np.log10(v.shape_mass)
-        place = {word: i for i, word in enumerate(v.number)}
-        number = np.array(list(v.number.values()) or [0], np.int32)
-        count = np.array([v.count[w] for w in place] or [0], np.float64)
-        base = np.log10(count + 0.5)
-        more = np.where(number >= VOCABULARY, base - mass[np.maximum(number - VOCABULARY, 0)], 0.0)
-        get = place.get
+        base = np.log10(v.count + 0.5)
+        more = np.where(v.number >= VOCABULARY, base - mass[np.maximum(v.number - VOCABULARY, 0)], 0.0)
+        read = Reader(v)
         for big in batches:
             for at in range(0, big.num_rows, ROWS):
                 b = big.slice(at, ROWS)
-                words: list[bytes] = []
-                lens = []
-                for text in as_bytes(b.column("text")):
-                    ts = tokens(text)
-                    words += ts
-                    lens.append(len(ts))
-                found = np.array([get(t, -1) for t in words], np.int32)
-                ends = np.cumsum(lens)
-                owner = np.repeat(np.arange(len(lens)), lens)
-                x, hit = number[found], found >= 0
-                head = np.bincount(owner, weights=np.where(hit, base[found], 0.0), minlength=len(lens))
-                own = np.bincount(owner, weights=np.where(hit, more[found], 0.0), minlength=len(lens))
-                seen = np.bincount(owner, weights=hit & (count[found] > 0), minlength=len(lens))
-                rare: list[Counter] = [Counter() for _ in lens]
-                for k in np.flatnonzero(~hit).tolist():
-                    t, d = words[k], owner[k]
-                    s = shape(t)
-                    x[k] = VOCABULARY + s
-                    own[d] -= mass[s]
-                    rare[d][t] += 1
-                lm = score_batch(weights.value, np.split(x, ends[:-1]), v.classes) * log_e + own
-                listed = [[{"word": t, "k": k} for t, k in c.items()] for c in rare]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(lens, pa.int64()), pa.array(seen.astype(np.int64)), pa.array(head), pa.array(lm), pa.array(listed, rare_type)], names=names)
+                x, found, n, text, code, names = read(b.column("text"))
+                owner, hit = np.repeat(np.arange(len(n)), n), found >= 0
+                total = lambda w, owner=owner, n=n: np.bincount(owner, weights=w, minlength=len(n))
+                head, seen = total(np.where(hit, base[found], 0.0)), total(hit & (v.count[found] > 0))
+                own = total(np.where(hit, more[found], -mass[np.maximum(x - VOCABULARY, 0)]))
+                pair, k = np.unique(text * max(1, len(names)) + code, return_counts=True)
+                if read.end < 0:  # no training document, so no end among the words
+                    head = head + np.log10(0.5)
+                ends = np.cumsum(np.bincount(pair // max(1, len(names)), minlength=len(n)))
+                pairs = pa.StructArray.from_arrays([names.take(pa.array(pair % max(1, len(names)))).cast(pa.binary()), pa.array(k, pa.int64())], fields=list(rare_type.value_type))
+                rare = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pairs)
+                lm = score_batch(weights.value, np.split(x, np.cumsum(n)[:-1]), v.classes) * log_e + own
+                if read.end < 0:
+                    lm = lm + np.log10(0.5)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n, pa.int64()), pa.array(seen.astype(np.int64)), pa.array(head), pa.array(lm), rare], names=columns)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumora.llm import crf, htmltext, lm, neardup, packing, pii, quality, topk, toxicity
@@ -302,7 +303,7 @@ def test_language_model_sums_to_one_and_learns():
     lp = lm._outputs(w, np.repeat(h, len(every), axis=0), every, v.classes)
     assert abs(np.exp(lp).sum() - 1) < 1e-4
     text = b" ".join([b"w1", b"w2", b"w3", b"w4"] * 30)
-    ids = lm.numbers(text, v)
+    ids = lm.Reader(v)(pa.array([text.decode()]))[0]
     before = lm.score_batch(w, [ids], v.classes)[0]
     for _ in range(8):
         read = lm.train(w, [ids] * 70, v.classes)
@@ -331,6 +332,14 @@ def test_gradients_of_the_language_model():
         a[at] = old
 
 
+def test_tokens_of_texts_against_brute_force():
+    rng = random.Random(10)
+    texts = ["".join(rng.choice(["A", "b", "É", "é", " ", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "\u2003", "."]) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None, ""]
+    flat, n = lm.tokens(pa.array(texts))
+    want = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    assert list(n) == list(map(len, want)) and flat.to_pylist() == [w for ws in want for w in ws]
+
+
 def test_texts_of_one_kind_have_a_shape():
     assert all(0 <= lm.shape(w) < lm.SHAPES for w in (b"", b"a", b"\xff\xfe", "größe".encode(), "ção".encode(), b"x9", b"#", b"word."))
 
@@ -339,5 +348,5 @@ def test_texts_of_one_kind_have_a_shape():
 def test_kernels_take_any_text(text):
     quality.measure(text)
     neardup.Shingler()(text)
-    lm.tokens(text)
+    lm.tokens(pa.array([text.decode()]))
     toxicity.parts(text)

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumora.llm import components, htmltext, lm, mixing, neardup, packing, pii, quality, registry, secrets, topk, toxicity
-from lumora.llm.common import stored
+from lumora.llm.common import fold_of, stored
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, size string, row string, queue string"
@@ -75,7 +75,7 @@ def test_language_model(spark, docs, none, rows):
 
 def test_held_out_texts_teach_nothing(spark, docs, rows):
     """Other held-out texts leave the vocabulary and every weight as they are; two runs agree to the bit."""
-    changed = spark.createDataFrame([(r[0], "only held out here " * 40, *r[2:]) if lm.fold_of(r[0]) == 1 else tuple(r) for r in rows], SCHEMA).repartition(3)
+    changed = spark.createDataFrame([(r[0], "only held out here " * 40, *r[2:]) if fold_of(r[0]) == 1 else tuple(r) for r in rows], SCHEMA).repartition(3)
     plain = spark.createDataFrame([tuple(r) for r in rows], SCHEMA).repartition(3)
     fits = []
     for df in (plain, plain, changed):
@@ -83,7 +83,7 @@ def test_held_out_texts_teach_nothing(spark, docs, rows):
         v = lm.vocabulary(lm.counted(df))
         fits.append((v, lm.fit(df.orderBy("doc_id", F.xxhash64("source")).coalesce(2), v)))
     for v, w in fits[1:]:
-        assert v.number == fits[0][0].number and v.count == fits[0][0].count and (v.shape_mass == fits[0][0].shape_mass).all()
+        assert v.words == fits[0][0].words and all((getattr(v, x) == getattr(fits[0][0], x)).all() for x in ("number", "count", "shape_mass"))
         assert all((w[k] == fits[0][1][k]).all() for k in w)
 
 
@@ -106,7 +106,7 @@ def test_every_training_document_is_trained_on(spark, docs, rows, monkeypatch, t
 
     monkeypatch.setattr(lm, "train", train)
     lm.fit(docs, v)
-    want = sum(len(words(lower(t))) + 1 for i, t, *_ in rows if t is not None and lm.fold_of(i) != 1)
+    want = sum(len(words(lower(t))) + 1 for i, t, *_ in rows if t is not None and fold_of(i) != 1)
     assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == want
 
 
@@ -117,7 +117,7 @@ def test_rare_words_are_joined(spark, docs, monkeypatch):
     want = {(r.doc_id, round(r.base_score, 6), r.n_known) for r in lm.score(docs, counts, every, w).collect()}
     monkeypatch.setattr(lm, "HEAD", 50)
     few = lm.vocabulary(counts)
-    assert lm.VOCABULARY >= len(few.number) > 50 and len(few.number) < len(every.number)  # the head gives way to the vocabulary
+    assert lm.VOCABULARY >= len(few.words) > 50 and len(few.words) < len(every.words)  # the head gives way to the vocabulary
     assert {(r.doc_id, round(r.base_score, 6), r.n_known) for r in lm.score(docs, counts, few, lm.start_weights(few)).collect()} == want
 
 
