@@ -85,6 +85,39 @@ def test_quality_base_rules_against_brute_force():
         assert len(codes) == len(sizes) and sum(sizes) == len(words)
 
 
+def test_boilerplate_lines_inside_good_documents_are_marked():
+    """Lines of symbols as in bad documents, and a line that unlike documents share, stand out in documents that stay."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    line = lambda n: (" ".join(word() for _ in range(n)).capitalize() + ".").encode()
+    junk = lambda n: " | ".join(word() for _ in range(n)).encode()
+    notice = b"This text may be copied under the terms of a licence."
+    docs = []
+    for i in range(400):
+        good = i % 4 > 0
+        lines = [line(rng.randint(5, 25)) if good else junk(rng.randint(5, 25)) for _ in range(rng.randint(3, 12))]
+        if good and i % 3 == 0:
+            lines.insert(rng.randrange(len(lines) + 1), notice if i % 2 else junk(12))
+        docs.append((b"\n".join(lines), int(good)))
+    one = [line(12) for _ in range(6)]  # a group of near copies is no boilerplate
+    docs += [(b"\n".join([*one[:k], line(12), *one[k + 1 :]]), 1) for k in range(6) for _ in range(8)]
+    chains = [(np.array(quality.measure(t)[1], np.int8), np.array([quality.line_hash(x) for x in t.split(b"\n")], np.uint64), y) for t, y in docs]
+    m = quality.fit_chains(chains)
+    assert quality.line_hash(notice) in m.repeated and not any(quality.line_hash(x) in m.repeated for x in one)
+
+    def decoded(*lines):
+        codes = quality.measure(b"\n".join(lines), m.repeated)[1]
+        return crf.viterbi([float(m.weights[np.array(c) + quality._BASE].sum()) for c in codes], m.transitions)
+
+    good = [line(15) for _ in range(8)]
+    assert decoded(*good) == [1] * 8
+    assert decoded(*good[:4], notice, *good[4:]) == [1] * 4 + [0] + [1] * 4
+    assert decoded(*good[:4], junk(15), *good[4:]) == [1] * 4 + [0] + [1] * 4
+    assert decoded(*(junk(15) for _ in range(5))) == [0] * 5
+    none = quality.fit_chains([c for c in chains if c[2]])
+    assert not none.weights.any() and not none.repeated
+
+
 def test_toxicity_learns_parts_of_words():
     rng = random.Random(5)
     clean = lambda: [rng.choice("the of and thing over house water green stone light".split()) for _ in range(rng.randint(3, 40))]
