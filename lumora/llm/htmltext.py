@@ -1,9 +1,12 @@
 """HTML extraction: the maximum-scoring run of a page, where words score positive and tags negative.
 
-The weight of a tag comes from labelled pages: pages with one <article> or <main> label their own
-tags as inside or outside of the content, and a tag that stands mostly outside costs more. Words of
-elements that never hold an article (menus, forms, adverts, ...) count against a run, too. A linear
-scan finds the best contiguous run; the blocks inside it, without such elements, are the text.
+The weights come from labelled pages: pages with one <article> or <main> label their own words and
+tags as inside or outside of the content. A tag that stands mostly outside costs more. A mark (a class or id
+word, a role, an element such as nav) that stands mostly around words outside makes its element one
+that holds no content; its words count against a run and are left out of the text. Marks with a
+telling name start from a prior count of outside words, which what pages show may outweigh. On
+pages with content elements, words outside of these count against a run, and tags inside cost least. A linear scan
+finds the best contiguous run; the blocks inside it, without such elements, are the text.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import html
 import math
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +23,11 @@ from pyspark.sql import functions as F
 
 from lumora.llm.common import map_batches, sample_of_rows, table
 
-#: Pages that the weights are learned from, at most, and the longest among them.
-TRAIN_ROWS, TRAIN_CHARS = 2000, 200_000
-WORD_WEIGHT, OUTSIDE_WORD, UNSEEN_TAG = 1.0, -0.5, -1.0
+#: Pages that the weights are learned from, and tags and marks that are learned, at most.
+TRAIN_ROWS, KEYS = 2000, 50_000
+WORD_WEIGHT, OUTSIDE_WORD, OUTSIDE_TAG, UNSEEN_TAG, LEAST_TAG = 1.0, -0.5, -1.0, -1.0, -0.05
+#: Words outside that a mark with a telling name starts from; words of both kinds that every mark starts from.
+PRIOR, SMOOTH = 200.0, 20.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -35,6 +41,7 @@ _NEVER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay "
     "menu nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets related recommended share sharing social comment comments commentlist disqus respond reply replies footer masthead topbar toolbar login search pagination pager skip".split()
 )
+_COMMENTS = frozenset(("comment", "comments", "reply"))
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -42,23 +49,40 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
 
 
-def _never(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds no part of an article."""
+def marks(name: str, attributes: str, inside: bool) -> list[str]:
+    """What an element shows of whether it holds content; inside: whether it stands in an <article> or <main>."""
+    a = _attributes(attributes) if attributes.strip() else {}
     if name in _CONTENT or name in ("html", "body"):
         # comments are sometimes articles of their own
-        return bool(attributes) and name == "article" and inside and bool({"comment", "comments", "reply"} & set(_SPLIT.split(_attributes(attributes).get("class", "").lower())))
-    if name in _NEVER or (name == "header" and not inside):
-        return True
-    if not attributes.strip():
-        return False
-    a = _attributes(attributes)
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in _NEVER_ROLES or "display:none" in a.get("style", "").lower().replace(" ", ""):
-        return True
-    names = set(_SPLIT.split(f"{a.get('class', '')} {a.get('id', '')}".lower()))
-    return bool(names & _NEVER_NAMES) or ("header" in names and not inside)
-
-
-def tokens(page: str) -> list[tuple]:
+        return [f".{x}" for x in _SPLIT.split(a.get("class", "").lower()) if x in _COMMENTS] if name == "article" and inside else []
+    out = [f"<{name}>"] if name in _NEVER or (name == "header" and not inside) else []
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").lower().replace(" ", ""):
+        out.append("hidden")
+    if role := a.get("role", "").lower()[:40]:
+        out.append(f"role={role}")
+    names = {x[:40] for x in _SPLIT.split(f"{a.get('class', '')} {a.get('id', '')}".lower()) if x}
+    return out + sorted(f".{x}" for x in names if x != "header" or not inside)
+
+
+def telling(mark: str) -> bool:
+    """Whether a mark's name tells of an element without content."""
+    return mark[0] == "<" or mark in ("hidden", ".header") or mark.removeprefix("role=") in _NEVER_ROLES or mark[1:] in _NEVER_NAMES
+
+
+class Model(NamedTuple):
+    tags: dict[str, float]
+    marks: dict[str, float]  # log odds of content
+
+    def never(self, name: str, attributes: str, inside: bool) -> bool:
+        """Whether an element holds no content: by the mark that speaks most against it."""
+        return any(self.marks.get(m, -1.0 if telling(m) else 0.0) < 0 for m in marks(name, attributes, inside))
+
+
+#: Before anything was learned.
+PLAIN = Model({}, {})
+
+
+def tokens(page: str, model: Model = PLAIN) -> list[tuple]:
     """("text", text, never, inside), or ("tag", key, block, never, inside, content): content is 1 where <article> or <main> opens, -1 where it closes.
 
     Raw elements (scripts, styles, ...) and comments leave no token; never: within an element that holds
@@ -84,7 +108,7 @@ def tokens(page: str) -> list[tuple]:
             continue
         void = name in _VOID or attributes.endswith("/")
         content = 0
-        if closing and name in _CONTENT and not end and inside == 0 and not _never(name, attributes, True):
+        if closing and name in _CONTENT and not end and inside == 0 and not model.never(name, attributes, True):
             closing, depth = "", 0  # an article in it: a wrapper, or never closed
         if closing and end and name in _CONTENT and inside <= since and name != closing:
             closing, depth = "", 0  # the article around it ends
@@ -95,7 +119,7 @@ def tokens(page: str) -> list[tuple]:
                 closing = ""
                 out.append(("tag", f"/{name}", name in _BLOCK, True, inside, 0))
                 continue
-        elif not end and not void and _never(name, attributes, inside > 0):
+        elif not end and not void and model.never(name, attributes, inside > 0):
             closing, depth, since = name, 1, inside
         if name in _CONTENT and not closing:
             content = -1 if end else 1
@@ -106,21 +130,86 @@ def tokens(page: str) -> list[tuple]:
     return out
 
 
-def count_tags(page: str) -> Counter | None:
-    """Tags inside and outside of the only content element of a labelled page; None for other pages."""
+def elements(page: str) -> tuple[int, list[tuple[list[str], int, int]]]:
+    """The words inside of <article> and <main>, and for each element with marks these and its words inside and outside.
+
+    What stands in an element with a telling name is counted for it and those around it, not for those that it holds.
+    """
+    out, at, inside, total, held = [], 0, 0, 0, 0
+    stack: list[tuple[str, list[str], bool, list[int]]] = []
+    told = 0  # elements with telling names that are open
+
+    def close() -> None:
+        nonlocal told
+        _, ms, speaks, n = stack.pop()
+        told -= speaks
+        if ms:
+            out.append((ms, n[0], n[1]))
+
+    while at < len(page):
+        m = _TOKEN.search(page, at)
+        stop = m.start() if m else len(page)
+        if n := len(page[at:stop].split()):
+            total += n * (inside > 0)
+            for _, _, speaks, count in stack:
+                count[inside == 0] += n
+                if speaks:
+                    break
+        if not m:
+            break
+        at = m.end() if m.end() > m.start() else m.start() + 1
+        if not m[2]:
+            continue
+        end, name, attributes = bool(m[1]), m[2].lower(), m[3]
+        if name in _RAW:
+            if not end and not attributes.endswith("/"):
+                raw = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                at = raw.end() if raw else len(page)
+            continue
+        if name in _CONTENT and not told:
+            inside = max(0, inside + (-1 if end else 1))
+        if end:
+            if any(x[0] == name for x in stack):
+                while stack[-1][0] != name:
+                    close()
+                close()
+        elif name not in _VOID and not attributes.endswith("/"):
+            ms = marks(name, attributes, inside > 0)
+            if ms or name in _BLOCK:
+                speaks = any(map(telling, ms))
+                told += speaks
+                stack.append((name, ms, speaks, [0, 0]))
+    while stack:
+        close()
+    return total, out
+
+
+def counted(page: str) -> tuple[Counter, Counter] | None:
+    """Of a labelled page: counts of (tag, inside), and words by (mark, inside); None for other pages.
+
+    An element with a telling name in the content counts as outside of it, unless it holds most of the content's words.
+    """
     ts = tokens(page)
     if sum(t[0] == "tag" and t[5] == 1 for t in ts) != 1:
         return None
-    return Counter((t[1], t[4] > 0 or t[5] != 0) for t in ts if t[0] == "tag")
-
-
-def weights_of(counts: Counter) -> dict[str, float]:
-    """A weight below 0 for each tag: the log odds of standing outside, at least 0.05."""
+    tags = Counter((t[1], t[4] > 0 or t[5] != 0) for t in ts if t[0] == "tag" and not t[3])
+    words: Counter = Counter()
+    total, found = elements(page)
+    for ms, n_in, n_out in found:
+        for m in ms:
+            part = telling(m) and 2 * n_in <= total
+            words[m, True] += 0 if part else n_in
+            words[m, False] += n_out + n_in if part else n_out
+    return tags, words
+
+
+def weights_of(tags: Counter, words: Counter) -> Model:
+    """A weight below 0 for each tag: the log odds of standing outside, at least LEAST_TAG; log odds of content for each mark."""
     out = {}
-    for key in {k for k, _ in counts}:
-        inside, outside = counts[key, True], counts[key, False]
-        out[key] = -min(40.0, max(0.05, 3 * (math.log((outside + 0.5) / (inside + 0.5)) + 1)))
-    return out
+    for key in {k for k, _ in tags}:
+        inside, outside = tags[key, True], tags[key, False]
+        out[key] = -min(40.0, max(-LEAST_TAG, 3 * (math.log((outside + 0.5) / (inside + 0.5)) + 1)))
+    return Model(out, {m: math.log((words[m, True] + SMOOTH) / (words[m, False] + SMOOTH + PRIOR * telling(m))) for m, _ in words})
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -135,27 +224,25 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
-def extract(page: str, weights: dict[str, float]) -> str:
-    """Blocks of the article, one a line; "" for a page without any."""
-    ts = tokens(page)
-    scores = [len(t[1].split()) * (OUTSIDE_WORD if t[2] else WORD_WEIGHT) if t[0] == "text" else weights.get(t[1], UNSEEN_TAG) for t in ts]
+def extract(page: str, model: Model) -> str:
+    """Blocks of the best run, one a line; "" for a page without any.
+
+    Content elements count as such when they hold at least half of the words outside of elements without content.
+    """
+    ts = tokens(page, model)
+    size = [len(t[1].split()) if t[0] == "text" else 0 for t in ts]
+    words = sum(n for n, t in zip(size, ts, strict=True) if t[0] == "text" and not t[2])
+    marked = sum(n for n, t in zip(size, ts, strict=True) if t[0] == "text" and not t[2] and t[3] > 0)
+    framed = marked > 0 and 2 * marked >= words
+    scores = []
+    for n, t in zip(size, ts, strict=True):
+        if t[0] == "text":
+            never, inside = t[2], framed and t[3] > 0
+            scores.append(n * ((0.0 if inside else OUTSIDE_WORD) if never else WORD_WEIGHT if inside or not framed else OUTSIDE_WORD))
+        else:
+            never, inside = t[3], framed and (t[4] > 0 or t[5] != 0)
+            scores.append((0.0 if inside else OUTSIDE_TAG) if never else LEAST_TAG if inside else model.tags.get(t[1], UNSEEN_TAG))
     a, b = best_run(scores)
-    if a < b:
-        # a run within one content element stands for the whole of it
-        opened, spans = [], []
-        for i, t in enumerate(ts):
-            if t[0] == "tag" and t[5] == 1:
-                opened.append(i)
-            elif t[0] == "tag" and t[5] == -1 and opened:
-                spans.append((opened.pop(), i + 1))
-        spans += [(i, len(ts)) for i in opened]
-        words = [i for i in range(a, b) if ts[i][0] == "text" and not ts[i][2] and ts[i][1].strip()]
-        # of the elements that hold most of the run's words, the innermost
-        size = lambda i: len(ts[i][1].split())
-        total = sum(map(size, words))
-        held = [(y - x, x, y) for x, y in spans if sum(size(i) for i in words if x <= i < y) * 2 > total]
-        if held:
-            _, a, b = min(held)
     blocks, current = [], []
     for t in ts[a:b]:
         if t[0] == "text":
@@ -170,27 +257,35 @@ def extract(page: str, weights: dict[str, float]) -> str:
     return "\n".join(x for x in (" ".join(s.split()) for s in blocks) if x)
 
 
-def fit(pages: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, float]:
-    """Weights from at most `rows` pages, those of the smallest url hashes. Counts come to the driver, by tag."""
-    sample = sample_of_rows(pages.where(F.length("html") <= TRAIN_CHARS).select("page_id", "url", "html"), rows, "page_id", "url")
+def fit(pages: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """Weights from at most `rows` pages of any length, those of the smallest hashes. Counts come to the driver, of the KEYS most frequent tags and marks."""
+    sample = sample_of_rows(pages.select("page_id", "url", "html"), rows, "page_id", "url", "html")
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         total: Counter = Counter()
         for page in b.column("html").to_pylist():
-            total.update(count_tags(page) or {})
+            for kind, c in enumerate(counted(page or "") or ()):
+                for (key, inside), n in c.items():
+                    total[kind, key[:80], inside] += n
         keys = sorted(total)
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], names=["key", "inside", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], names=["kind", "key", "inside", "n"])
 
-    got = map_batches(sample, count, "key string, inside boolean, n long").groupBy("key", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key", "inside").limit(10_000)
-    return weights_of(Counter({(r["key"], r["inside"]): r["n"] for r in got.collect()}))
+    sums = map_batches(sample, count, "kind int, key string, inside boolean, n long").groupBy("kind", "key", "inside").agg(F.sum("n").alias("n"))
+    got = sums.orderBy(F.desc("n"), "kind", "key", "inside").limit(KEYS).collect()
+    tags, words = (Counter({(r["key"], r["inside"]): r["n"] for r in got if r["kind"] == k}) for k in (0, 1))
+    return weights_of(tags, words)
 
 
-def main_text(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """page_id, url, text, n_chars: one row for each row of pages. A null page counts as empty; its text is ""."""
+def main_text(pages: DataFrame, model: Model) -> DataFrame:
+    """page_id, url, text, n_chars: one row for each row of pages.
+
+    A null page counts as empty; its text is "". Repeated rows are extracted each; pages of any length are read
+    whole; an empty table gives no rows; other columns of pages are ignored. Of equal runs the first one counts.
+    """
     types = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        text = [extract(p or "", weights) for p in b.column("html").to_pylist()]
+        text = [extract(p or "", model) for p in b.column("html").to_pylist()]
         return pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return map_batches(pages.select("page_id", "url", "html"), one, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
