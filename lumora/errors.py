@@ -89,5 +89,16 @@ class TableNotFound(EngineError):
     pass
 
 
+class RowDecode(EngineError):
+    """A row that can't be read as what was asked for; rowid: its number, where the table has them."""
+
+    def __init__(self, rowid: int | None, why: str):
+        super().__init__(f"row {rowid}: {why}")
+        self.rowid = rowid
+
+    def __reduce__(self):
+        return type(self), (self.rowid, str(self).partition(": ")[2])
+
+
 class SourceError(EngineError):
     """A file that can't be opened or read as what it should be."""

@@ -6,26 +6,34 @@ that carries the class, so that order and comparisons stay inside generated code
 
 from __future__ import annotations
 
+from datetime import datetime
 from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumora.errors import SqlUnsupported
+
 #: rank: 1 number, 2 text, 3 blob; a null value is a null struct. i: exact integers; r: any number.
 MIXED = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("i", T.LongType()), T.StructField("r", T.DoubleType()), T.StructField("t", T.StringType()), T.StructField("b", T.BinaryType())])
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Kinds of points in time; a text literal is read as one of them where it meets one.
+TIMES = ("date", "timestamp", "timestamp_ntz")
+_PLAIN = frozenset(("mixed", "integer", "real", "text", "blob"))
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 class Value(NamedTuple):
-    """A column with its kind: integer, real, text, blob, null, mixed, boolean, or other (passed through)."""
+    """A column with its kind: integer, real, text, blob, null, mixed, boolean, one of TIMES, or other (passed through)."""
 
     column: Column
     kind: str
     #: A literal other than NaN.
     constant: bool = False
+    #: The text of a text literal.
+    text: str | None = None
 
 
 def kind_of(kind: T.DataType) -> str:
@@ -41,6 +49,8 @@ def kind_of(kind: T.DataType) -> str:
         return "null"
     if isinstance(kind, T.BooleanType):
         return "boolean"
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return kind.simpleString()
     return "mixed" if kind == MIXED else "other"
 
 
@@ -66,7 +76,21 @@ def literal(value: object) -> Value:
         return Value(F.lit(value), "real", value == value)
     if isinstance(value, bytes):
         return Value(F.lit(value), "blob")
-    return Value(F.lit(str(value)), "text")
+    return Value(F.lit(str(value)), "text", text=str(value))
+
+
+def _as_time(v: Value) -> Value:
+    """A text literal as a date or a time without zone."""
+    try:
+        if v.text is None:
+            raise ValueError
+        moment = datetime.fromisoformat(v.text)
+        if moment.tzinfo is not None:
+            raise ValueError
+    except ValueError:
+        raise SqlUnsupported(f"a point in time against {v.text or v.kind!r}") from None
+    kind = "date" if len(v.text) == 10 else "timestamp_ntz"
+    return Value(F.lit(v.text).cast(kind), kind)
 
 
 def _as_mixed(v: Value) -> dict[str, Column]:
@@ -85,7 +109,10 @@ def compare(op: str, a: Value, b: Value) -> Column:
     apply = _APPLY[op]
     if "null" in (a.kind, b.kind):
         return F.lit(None).cast("boolean")
-    if "mixed" in (a.kind, b.kind) and "other" not in (a.kind, b.kind):
+    if a.kind in TIMES or b.kind in TIMES:
+        a, b = (v if v.kind in TIMES else _as_time(v) for v in (a, b))
+        return apply(a.column, b.column)
+    if "mixed" in (a.kind, b.kind) and {a.kind, b.kind} <= _PLAIN:
         x, y = _as_mixed(a), _as_mixed(b)
         exact = x["i"].isNotNull() & y["i"].isNotNull()
         numbers = F.when(exact, apply(x["i"], y["i"])).otherwise(~F.isnan(x["r"]) & ~F.isnan(y["r"]) & apply(x["r"], y["r"]))
@@ -153,10 +180,12 @@ def join_on(a: Value, b: Value) -> Column | None:
     numeric = {"integer", "real"}
     if a.kind == b.kind == "integer" or a.kind == b.kind and a.kind in ("text", "blob", "other", "boolean"):
         return a.column == b.column
+    if a.kind in TIMES and b.kind in TIMES:
+        return a.column == b.column
     if a.kind in numeric and b.kind in numeric:
         x, y = a.column.cast("double"), b.column.cast("double")
         return (x == y) & ~F.isnan(x)
-    if "mixed" in (a.kind, b.kind) and not {a.kind, b.kind} & {"null", "other", "boolean"}:
+    if "mixed" in (a.kind, b.kind) and {a.kind, b.kind} <= _PLAIN:
         x, y = _as_mixed(a), _as_mixed(b)
         key = lambda f: F.struct(f["rank"].alias("rank"), F.coalesce(f["r"], F.lit(0.0)).alias("r"), F.coalesce(f["t"], F.lit("")).alias("t"), F.coalesce(f["b"], F.lit(b"")).alias("b"))
         exact = F.coalesce(x["i"] == y["i"], F.lit(True))

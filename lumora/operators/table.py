@@ -195,6 +195,7 @@ class JoinStrategy(Enum):
 
     AUTO = None
     HASH = "shuffle_hash"
+    HASH_JOIN = "shuffle_hash"  # another name of HASH
     INDEX_NESTED_LOOP = "broadcast"
     INDEX_MERGE = "merge"
     NESTED_LOOP_SCAN = "_"
@@ -281,6 +282,8 @@ class Join:
         return replace(self, keys=(left, right))
 
     def strategy(self, how: JoinStrategy) -> Join:
+        if not isinstance(how, JoinStrategy):
+            raise E.UnsupportedJoinStrategy(str(how))
         return replace(self, how=how)
 
     def hash_mem_limit(self, _bytes: int) -> Join:
@@ -310,7 +313,10 @@ class Join:
                 raise E.UnsupportedJoinKeyType("the table has no row number")
             return V.Value(rowid, "integer")
 
-        df = joined(left, right, key(self.keys[0], l_cols, l_id), key(self.keys[1], r_cols, r_id), self.kind, self.how)
+        a, b = key(self.keys[0], l_cols, l_id), key(self.keys[1], r_cols, r_id)
+        if self.keys[1].index is None and a.kind != "integer":  # only integers are row numbers
+            a = V.Value(a.column["i"], "integer") if a.kind == "mixed" else V.Value(F.lit(None).cast("long"), "integer")
+        df = joined(left, right, a, b, self.kind, self.how)
         if self.order:
             keys: list[Column] = []
             for o in self.order:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import sqlite3
+import tempfile
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumora.errors import SourceError
 from lumora.operators import expr as X
 from lumora.operators.table import Join, JoinKey, JoinStrategy, Scan, Table, left_asc, right_desc
 from lumora.session import Engine
@@ -63,9 +68,11 @@ def _left_some(scan: Callable[[str], Scan], strategy: JoinStrategy = JoinStrateg
 
 def _with_nulls(scan: Callable[[str], Scan]) -> Scan:
     """orders with a null status where it is F, and a null customer where the key ends in 0."""
-    t = scan("orders").table
-    df = t.df.select("o_orderkey", F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("o_custkey"), F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("o_orderstatus"), "o_totalprice")
-    return Scan(Table("orders", df))
+    return Scan(Table("orders", _nulled(scan("orders").table.df)))
+
+
+def _nulled(orders: DataFrame) -> DataFrame:
+    return orders.select("o_orderkey", F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("o_custkey"), F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("o_orderstatus"), "o_totalprice")
 
 
 NULLED = "(SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS o_custkey, nullif(o_orderstatus, 'F') AS o_orderstatus, o_totalprice FROM orders)"
@@ -137,6 +144,72 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, sf_dir).schema().select("type", "name")
 
 
+def _registered(make: Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]], text: str, oracle: str) -> Entry:
+    """A query over tables that are derived from those of the folder."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Engine(spark, sf_dir)
+        for name, df in make(lambda n: engine.table(n).df).items():
+            engine.register(name, df)
+        return engine.query(text)
+
+    return Entry(run, oracle)
+
+
+def _file_dir(spark: SparkSession) -> str:
+    """Where all executors can open a file: the shared folder, if it is one of the file system."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or ""
+    if base.startswith("file:"):
+        return "/" + base.removeprefix("file:").lstrip("/")
+    if base.startswith("/"):
+        return base
+    if not spark.sparkContext.master.startswith("local["):
+        raise SourceError("a SQLite file needs a shared folder of the file system in spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="lumora-")
+
+
+def _sqlite(query: Callable[[Engine], DataFrame], oracle: str) -> Entry:
+    """Over a SQLite file with nation and region, two tables of fixed size, in the order of their keys; `mixed` has values of all classes."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source = Engine(spark, sf_dir)
+        nation, region = ([tuple(r) for r in source.table(t).df.collect()] for t in ("nation", "region"))
+        folder = _file_dir(spark)
+        os.makedirs(folder, exist_ok=True)
+        path = os.path.join(folder, f"lumora-{uuid.uuid4().hex}.db")
+        con = sqlite3.connect(path)
+        con.execute("CREATE TABLE nation (n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER, n_real REAL)")
+        con.executemany("INSERT INTO nation VALUES (?, ?, ?, ?)", [(k, n, r, r + 0.0) for k, n, r in sorted(nation)])
+        con.execute("CREATE TABLE region (r_regionkey INTEGER, r_name TEXT)")
+        con.executemany("INSERT INTO region VALUES (?, ?)", sorted(region))
+        con.execute("CREATE TABLE mixed (k INTEGER, v)")
+        con.executemany("INSERT INTO mixed VALUES (?, ?)", [(k, (None, k, k + 0.5, n)[k % 4]) for k, n, _ in sorted(nation)])
+        con.commit()
+        con.close()
+        return query(Engine(spark, path))
+
+    return Entry(run, oracle)
+
+
+def _row_join(kind: Callable[..., Join], column: str) -> Callable[[Engine], DataFrame]:
+    """Nations with the region of the row number that a column names."""
+
+    def query(engine: Engine) -> DataFrame:
+        n, r = engine.table("nation").scan(), engine.table("region").scan()
+        df = kind(n, r).on(JoinKey.col(_at(n, column)[0]), JoinKey.rowid()).project_left(_at(n, "n_name")).project_right(_at(r, "r_name")).compile()
+        return df.withColumnsRenamed({"_left_rowid": "l", "_right_rowid": "r"})
+
+    return query
+
+
+def _keys_of(left: Column, right: Column) -> Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]]:
+    return lambda t: {"a": t("nation").select(left.alias("k"), "n_name"), "b": t("nation").select(right.alias("k"), "n_name")}
+
+
+KEYED = "SELECT a.n_name AS a_name, b.n_name AS b_name FROM a JOIN b ON a.k = b.k"
+_BIG = 2**53
+
+
 ENTRIES: dict[str, Entry] = {
     # projection
     "scan_project": _sql("SELECT o_orderkey, o_totalprice FROM orders"),
@@ -168,6 +241,9 @@ ENTRIES: dict[str, Entry] = {
     "filter_not_null_comparison": _built(_filtered(lambda c: X.col(c[2]).eq(X.lit_bytes("O")).not_()), f"SELECT o_orderkey, o_custkey, o_orderstatus FROM {NULLED} t WHERE NOT (o_orderstatus = 'O')"),
     "filter_mixed_type_false": Entry(_mixed, "SELECT o_orderkey FROM orders WHERE FALSE"),
     "filter_udf": _built(_udf, "SELECT p_partkey, p_size, p_brand FROM part WHERE p_size % 7 = 3 AND p_brand LIKE '%3'"),
+    "filter_time_ge": _sql("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_shipdate >= '1996-06-01'"),
+    "filter_time_not_between": _sql("SELECT o_orderkey FROM orders WHERE o_orderdate NOT BETWEEN '1994-01-01' AND '1996-12-31 12:00:00'"),
+    "filter_time_columns": _sql("SELECT o.o_orderkey, l.l_linenumber FROM orders AS o JOIN lineitem AS l ON o.o_orderkey = l.l_orderkey WHERE l.l_shipdate < o.o_orderdate"),
     # aggregates
     "agg_global": _sql(
         "SELECT COUNT(*) AS n, COUNT(l_tax) AS n_tax, SUM(l_linenumber) AS s, SUM(l_extendedprice) AS price, AVG(l_quantity) AS q, MIN(l_shipdate) AS lo, MAX(l_returnflag) AS hi FROM lineitem",
@@ -207,6 +283,8 @@ ENTRIES: dict[str, Entry] = {
     "limit_comma": _sql("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 200, 50", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 200"),
     "offset_only": _sql("SELECT n_name FROM nation ORDER BY n_nationkey OFFSET 20"),
     "limit_zero": _sql("SELECT o_orderkey FROM orders LIMIT 0"),
+    "sort_nulls_ascending": _registered(lambda t: {"t": _nulled(t("orders"))}, "SELECT o_orderkey, o_orderstatus FROM t ORDER BY o_orderstatus, o_orderkey DESC LIMIT 8000", f"SELECT o_orderkey, o_orderstatus FROM {NULLED} t ORDER BY o_orderstatus ASC NULLS FIRST, o_orderkey DESC LIMIT 8000"),
+    "sort_nulls_descending": _registered(lambda t: {"t": _nulled(t("orders"))}, "SELECT o_orderkey, o_custkey FROM t ORDER BY o_custkey DESC, o_orderkey LIMIT 14000", f"SELECT o_orderkey, o_custkey FROM {NULLED} t ORDER BY o_custkey DESC NULLS LAST, o_orderkey LIMIT 14000"),
     # distinct
     "distinct_single": _sql("SELECT DISTINCT p_brand FROM part"),
     "distinct_multi": _sql("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem"),
@@ -230,6 +308,13 @@ ENTRIES: dict[str, Entry] = {
     "join_shuffle_hash": _sql(JOINED.format(kind="INNER"), strategy=JoinStrategy.HASH),
     "join_nested_loop": _sql(JOINED.format(kind="INNER"), strategy=JoinStrategy.NESTED_LOOP_SCAN),
     "join_left_merge": _built(lambda s: _left_some(s, JoinStrategy.INDEX_MERGE), "SELECT c.c_custkey, c.c_name, o.o_orderkey, o.o_totalprice FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c.c_custkey = o.o_custkey"),
+    "join_keys_beyond_2_53": _registered(_keys_of(F.col("n_nationkey").cast("long") + _BIG, F.col("n_nationkey").cast("long") + _BIG + 1), KEYED, "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_nationkey = b.n_nationkey + 1"),
+    "join_negative_zero": _registered(_keys_of(F.when(F.col("n_nationkey") < 3, -0.0).otherwise(F.col("n_nationkey").cast("double")), F.when(F.col("n_nationkey") < 2, 0.0).otherwise(-1.0 - F.col("n_nationkey"))), KEYED, "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_nationkey < 3 AND b.n_nationkey < 2"),
+    "join_nan": _registered(_keys_of(*[F.when(F.col("n_regionkey") == 0, float("nan")).otherwise(F.col("n_nationkey").cast("double"))] * 2), KEYED, "SELECT n_name AS a_name, n_name AS b_name FROM nation WHERE n_regionkey <> 0"),
+    "join_distinct_order_unprojected": _sql(
+        "SELECT DISTINCT c.c_nationkey FROM customer AS c JOIN orders AS o ON c.c_custkey = o.o_custkey ORDER BY o.o_totalprice DESC LIMIT 7",
+        "SELECT c_nationkey FROM (SELECT c_nationkey, max(o_totalprice) AS m FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_nationkey) t ORDER BY m DESC LIMIT 7",
+    ),
     "join_distinct": _sql("SELECT DISTINCT c.c_nationkey, o.o_orderstatus FROM customer AS c JOIN orders AS o ON c.c_custkey = o.o_custkey"),
     "join_topk": _sql(FLAGSHIP),
     "join_in_between_like": _sql(
@@ -239,6 +324,20 @@ ENTRIES: dict[str, Entry] = {
         _join_sides,
         "SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM customer WHERE c_custkey <= 300) c JOIN (SELECT * FROM orders ORDER BY o_orderkey LIMIT 500) o ON c.c_custkey = o.o_custkey",
     ),
+    # SQLite files
+    "sqlite_scan": _sqlite(lambda e: e.query("SELECT * FROM nation WHERE n_real >= 2 AND n_name LIKE '%a%'"), "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey, CAST(n_regionkey AS DOUBLE) AS n_real FROM nation WHERE n_regionkey >= 2 AND n_name ILIKE '%a%'"),
+    "sqlite_row_lookup": _sqlite(lambda e: e.table("nation").df.where("_rowid = 7").select("_rowid", "n_name").toDF("r", "n_name"), "SELECT CAST(n_nationkey + 1 AS BIGINT) AS r, n_name FROM nation WHERE n_nationkey = 6"),
+    "sqlite_row_join": _sqlite(_row_join(Join.inner, "n_regionkey"), "SELECT n_name, r_name, CAST(n_nationkey + 1 AS BIGINT) AS l, CAST(n_regionkey AS BIGINT) AS r FROM nation JOIN region ON r_regionkey + 1 = n_regionkey"),
+    "sqlite_row_join_left": _sqlite(_row_join(Join.left, "n_regionkey"), "SELECT n_name, r_name, CAST(n_nationkey + 1 AS BIGINT) AS l, CAST(CASE WHEN r_name IS NULL THEN 0 ELSE n_regionkey END AS BIGINT) AS r FROM nation LEFT JOIN region ON r_regionkey + 1 = n_regionkey"),
+    "sqlite_row_join_real_key": _sqlite(_row_join(Join.left, "n_real"), "SELECT n_name, CAST(NULL AS VARCHAR) AS r_name, CAST(n_nationkey + 1 AS BIGINT) AS l, CAST(0 AS BIGINT) AS r FROM nation"),
+    "sqlite_mixed_order": _sqlite(lambda e: e.query("SELECT k FROM mixed ORDER BY v DESC, k LIMIT 17"), "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation ORDER BY CASE n_nationkey % 4 WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END DESC, CASE WHEN n_nationkey % 4 = 3 THEN n_name END DESC, n_nationkey + CASE WHEN n_nationkey % 4 = 2 THEN 0.5 ELSE 0 END DESC LIMIT 17"),
+    "sqlite_mixed_filter": _sqlite(lambda e: e.query("SELECT k FROM mixed WHERE v > 9 OR v = 5"), "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey % 4 IN (1, 2) AND (n_nationkey > 8.6 AND NOT (n_nationkey = 9) OR n_nationkey = 5)"),
+    "sqlite_mixed_extremes": _sqlite(lambda e: e.query("SELECT COUNT(v) AS n, SUM(v) AS s FROM mixed"), "SELECT COUNT(*) AS n, SUM(CASE n_nationkey % 4 WHEN 1 THEN n_nationkey WHEN 2 THEN n_nationkey + 0.5 ELSE 0 END)::DOUBLE AS s FROM nation WHERE n_nationkey % 4 <> 0"),
+    "sqlite_first_seen_groups": _sqlite(lambda e: e.query("SELECT n_regionkey, COUNT(*) AS n, MIN(n_name) AS lo FROM nation GROUP BY n_regionkey LIMIT 3"), "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, COUNT(*) AS n, MIN(n_name) AS lo FROM nation GROUP BY n_regionkey ORDER BY MIN(n_nationkey) LIMIT 3"),
+    "sqlite_distinct_first": _sqlite(lambda e: e.query("SELECT DISTINCT n_regionkey FROM nation LIMIT 2 OFFSET 1"), "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation GROUP BY n_regionkey ORDER BY MIN(n_nationkey) LIMIT 2 OFFSET 1"),
+    "sqlite_limit_in_row_order": _sqlite(lambda e: e.query("SELECT n_name FROM nation LIMIT 5 OFFSET 4"), "SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 5 OFFSET 4"),
+    "sqlite_typed": _sqlite(lambda e: e.typed("nation", {"n_name": "text", "n_real": "real"}, allow_extra=True), "SELECT n_name, CAST(n_regionkey AS DOUBLE) AS n_real FROM nation"),
+    "sqlite_schema": _sqlite(lambda e: e.query("SELECT name, rootpage FROM sqlite_schema WHERE type = 'table'"), "SELECT name, CAST(rootpage AS BIGINT) AS rootpage FROM (VALUES ('nation', 2), ('region', 3), ('mixed', 4)) t(name, rootpage)"),
     # catalogue
     "schema_listing": Entry(
         _listing,

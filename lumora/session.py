@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
+from lumora import rows
 from lumora.errors import SchemaMismatch, TableNotFound, TypeMismatch
 from lumora.functions import values as V
 from lumora.operators.table import JoinStrategy, Table, rows_of
 from lumora.plans import parser, planner
+from lumora.rows import RowView
 from lumora.sources import files, sqlite
 
 
@@ -67,6 +69,20 @@ class Engine:
     def query(self, sql: str, strategy: JoinStrategy = JoinStrategy.AUTO) -> DataFrame:
         return self.prepare(sql, strategy).df
 
+    def find_schema(self, test: Callable[[dict[str, object]], bool]) -> dict[str, object] | None:
+        """The first table or index (type, name, ...) that passes; the search ends there."""
+        if self.is_sqlite:
+            return sqlite.find_in_schema(self.path, test)
+        return next((e for n in self.table_names() if test(e := {"type": "table", "name": n})), None)
+
+    def views(self, name: str) -> Iterator[RowView]:
+        """Rows with typed getters."""
+        return rows.views(self.table(name))
+
+    def decoded(self, name: str, cls: type) -> Iterator[object]:
+        """Rows as instances of a dataclass; a row of other classes is a RowDecode error with its number."""
+        return rows.decoded(self.table(name), cls)
+
     def typed(self, name: str, kinds: dict[str, str], allow_extra: bool = False) -> DataFrame:
         """The table with checked kinds (integer, real, text, blob): nothing is converted. allow_extra: more columns may be there."""
         t = self.table(name)

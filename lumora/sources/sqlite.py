@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import os
 import sqlite3
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from lumora.errors import SourceError, TableNotFound
+from lumora.errors import RowDecode, SourceError, TableNotFound
 from lumora.functions.values import MIXED
 from lumora.operators.table import ROWID, Table
 
@@ -63,6 +63,16 @@ def _has_rowid(con: sqlite3.Connection, table: str) -> bool:
         return False
 
 
+def find_in_schema(path: str, test: Callable[[dict[str, object]], bool]) -> dict[str, object] | None:
+    """The first entry of the file's own list that passes; nothing after it is read."""
+    with connect(path) as con:
+        for r in con.execute(f"SELECT {', '.join(SCHEMA_COLUMNS)} FROM sqlite_schema ORDER BY rowid"):
+            entry = dict(zip(SCHEMA_COLUMNS, (x.decode() if isinstance(x, bytes) else x for x in r), strict=True))
+            if test(entry):
+                return entry
+    return None
+
+
 def schema_of(path: str, table: str) -> T.StructType:
     """_rowid, then a field a column, by the classes of its values; a column without values is text."""
     with connect(path) as con:
@@ -70,8 +80,11 @@ def schema_of(path: str, table: str) -> T.StructType:
         if not names:
             raise TableNotFound(table)
         out = T.StructType([T.StructField(ROWID, T.LongType())])
+        classes = ("integer", "real", "text", "blob")
+        asked = ", ".join(f"max(typeof({_quote(n)}) = '{c}')" for n in names for c in classes)
+        seen = iter(con.execute(f"SELECT {asked} FROM {_quote(table)}").fetchone())  # one pass for all columns
         for n in names:
-            found = {r[0].decode() for r in con.execute(f"SELECT DISTINCT typeof({_quote(n)}) FROM {_quote(table)}")} - {"null"}
+            found = {c for c, here in zip(classes, [next(seen) for _ in classes], strict=True) if here}
             single = {"integer": T.LongType(), "real": T.DoubleType(), "text": T.StringType(), "blob": T.BinaryType()}
             kind = single[next(iter(found))] if len(found) == 1 else T.DoubleType() if found == {"integer", "real"} else MIXED if found else T.StringType()
             out.add(n, kind)
@@ -134,7 +147,7 @@ class _Reader(DataSourceReader):
                     values = cols[1 + i]
                     if f.dataType == MIXED:
                         classes = cols[1 + len(fields) + mixed.index(i)]
-                        arrays.append(pa.array([_tagged(v, c) for v, c in zip(values, classes, strict=True)], _MIXED_ARROW))
+                        arrays.append(pa.array([_tagged(v, c, r) for v, c, r in zip(values, classes, cols[0], strict=True)], _MIXED_ARROW))
                     elif isinstance(f.dataType, T.LongType):
                         arrays.append(pa.array(values, pa.int64()))
                     elif isinstance(f.dataType, T.DoubleType):
@@ -142,7 +155,7 @@ class _Reader(DataSourceReader):
                     elif isinstance(f.dataType, T.BinaryType):
                         arrays.append(pa.array(values, pa.binary()))
                     else:
-                        arrays.append(pa.array([None if v is None else v.decode() for v in values], pa.string()))
+                        arrays.append(pa.array(_texts(values, cols[0]), pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in self.schema.fields])
 
 
@@ -155,11 +168,25 @@ def rows_sql(listed: str, kinds: str, table: str, numbered: bool) -> str:
     return f"SELECT rowid, {listed}, {kinds} FROM {_quote(table)} WHERE rowid BETWEEN ? AND ? ORDER BY rowid"
 
 
-def _tagged(value: object, kind: bytes) -> dict | None:
+def _text(value: bytes, row: int | None) -> str:
+    try:
+        return value.decode()
+    except UnicodeDecodeError as e:
+        raise RowDecode(row, f"text that isn't UTF-8 ({e.reason})") from e
+
+
+def _texts(values: tuple, rows: tuple) -> list[str | None]:
+    try:
+        return [None if v is None else v.decode() for v in values]
+    except UnicodeDecodeError:
+        return [None if v is None else _text(v, r) for v, r in zip(values, rows, strict=True)]
+
+
+def _tagged(value: object, kind: bytes, row: int | None) -> dict | None:
     if kind == b"null":
         return None
     rank = {b"integer": 1, b"real": 1, b"text": 2, b"blob": 3}[kind]
-    return {"rank": rank, "i": value if kind == b"integer" else None, "r": float(value) if rank == 1 else None, "t": value.decode() if rank == 2 else None, "b": value if rank == 3 else None}
+    return {"rank": rank, "i": value if kind == b"integer" else None, "r": float(value) if rank == 1 else None, "t": _text(value, row) if rank == 2 else None, "b": value if rank == 3 else None}
 
 
 class SqliteSource(DataSource):
