@@ -94,6 +94,12 @@ def test_join_order_projection_and_row_numbers(spark):
     assert [r[0] for r in rows(j.project_left([]).project_right([1]).order_by([right_desc(1)]).compile())] == [5, 4, 3]
     by_row = Join.left(left.scan(), right.scan().filter(X.col(1).lt(X.lit_i64(5)))).on(JoinKey.col(0), JoinKey.rowid()).project_left([0]).project_right([2])
     assert rows(by_row.order_by([left_asc(0)]).compile()) == [(1, None, 1, 0), (2, "y", 2, 2)]
+    reals = table(spark, "f", "k double", [(1.0,), (2.0,)])
+    assert Join.inner(reals.scan(), right.scan()).on(JoinKey.col(0), JoinKey.rowid()).compile().count() == 0
+    assert rows(Join.left(reals.scan(), right.scan()).on(JoinKey.col(0), JoinKey.rowid()).project_right([2]).compile()) == [(1.0, None, 1, 0), (2.0, None, 2, 0)]
+    assert JoinStrategy.HASH_JOIN is JoinStrategy.HASH
+    with pytest.raises(E.UnsupportedJoinStrategy):
+        j.strategy("hash")
     with pytest.raises(E.MissingJoinCondition):
         Join.inner(left.scan(), right.scan()).compile()
     with pytest.raises(E.InvalidOrderByColumn):
