@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.errors import SourceError
@@ -202,12 +202,11 @@ def _row_join(kind: Callable[..., Join], column: str) -> Callable[[Engine], Data
     return query
 
 
-def _keys_of(left: Column, right: Column) -> Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]]:
-    return lambda t: {"a": t("nation").select(left.alias("k"), "n_name"), "b": t("nation").select(right.alias("k"), "n_name")}
+def _keys_of(left: str, right: str) -> Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]]:
+    return lambda t: {"a": t("nation").selectExpr(f"{left} AS k", "n_name"), "b": t("nation").selectExpr(f"{right} AS k", "n_name")}
 
 
 KEYED = "SELECT a.n_name AS a_name, b.n_name AS b_name FROM a JOIN b ON a.k = b.k"
-_BIG = 2**53
 
 
 ENTRIES: dict[str, Entry] = {
@@ -308,9 +307,9 @@ ENTRIES: dict[str, Entry] = {
     "join_shuffle_hash": _sql(JOINED.format(kind="INNER"), strategy=JoinStrategy.HASH),
     "join_nested_loop": _sql(JOINED.format(kind="INNER"), strategy=JoinStrategy.NESTED_LOOP_SCAN),
     "join_left_merge": _built(lambda s: _left_some(s, JoinStrategy.INDEX_MERGE), "SELECT c.c_custkey, c.c_name, o.o_orderkey, o.o_totalprice FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c.c_custkey = o.o_custkey"),
-    "join_keys_beyond_2_53": _registered(_keys_of(F.col("n_nationkey").cast("long") + _BIG, F.col("n_nationkey").cast("long") + _BIG + 1), KEYED, "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_nationkey = b.n_nationkey + 1"),
-    "join_negative_zero": _registered(_keys_of(F.when(F.col("n_nationkey") < 3, -0.0).otherwise(F.col("n_nationkey").cast("double")), F.when(F.col("n_nationkey") < 2, 0.0).otherwise(-1.0 - F.col("n_nationkey"))), KEYED, "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_nationkey < 3 AND b.n_nationkey < 2"),
-    "join_nan": _registered(_keys_of(*[F.when(F.col("n_regionkey") == 0, float("nan")).otherwise(F.col("n_nationkey").cast("double"))] * 2), KEYED, "SELECT n_name AS a_name, n_name AS b_name FROM nation WHERE n_regionkey <> 0"),
+    "join_keys_beyond_2_53": _registered(_keys_of("n_nationkey + 9007199254740992L", "n_nationkey + 9007199254740993L"), KEYED, "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_nationkey = b.n_nationkey + 1"),
+    "join_negative_zero": _registered(_keys_of("if(n_nationkey < 3, -0.0D, n_nationkey)", "if(n_nationkey < 2, 0.0D, -1 - n_nationkey)"), KEYED, "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_nationkey < 3 AND b.n_nationkey < 2"),
+    "join_nan": _registered(_keys_of(*["if(n_regionkey = 0, double('NaN'), n_nationkey)"] * 2), KEYED, "SELECT n_name AS a_name, n_name AS b_name FROM nation WHERE n_regionkey <> 0"),
     "join_distinct_order_unprojected": _sql(
         "SELECT DISTINCT c.c_nationkey FROM customer AS c JOIN orders AS o ON c.c_custkey = o.o_custkey ORDER BY o.o_totalprice DESC LIMIT 7",
         "SELECT c_nationkey FROM (SELECT c_nationkey, max(o_totalprice) AS m FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_nationkey) t ORDER BY m DESC LIMIT 7",
