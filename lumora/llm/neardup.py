@@ -9,10 +9,15 @@ the classes' count vectors (shingles hashed into GROUPS groups); for a query, th
 the smaller count bounds the overlap with a point, and with the upper corner of a node all points
 below it. What survives is verified on the whole shingle sets.
 
-Meetings of more than SMALL classes yield at first only pairs of neighbours in the tree's order. When
-these are verified and joined into components, the tree is searched again for pairs across
-components: links inside a component can't change the result, so a group of g near copies costs about
-g pairs a meeting, and no link between components is lost.
+A meeting of up to SMALL classes is a tree of one leaf. Larger meetings, and those that a task holds in
+part, yield at first only pairs of neighbours in the tree's order. When these are verified and joined into components, the
+tree is searched again for pairs across components: links inside a component can't change the
+result, so a group of g near copies costs about g pairs a meeting, and no link between components is lost.
+
+Rows are dealt by ranges of (shingle, size, class), so a meeting of any size is spread over tasks. The
+second search takes it in cells of bounded size, points against queries, where the rows of the
+meeting's largest component are points only. Class names are 64-bit hashes; a second hash tells whether two
+sets share one, and then all is done again with other hashes.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import as_bytes, drop_stored, stored, table
+from lumora.llm.common import as_bytes, drop_stored, fresh, stored, table
 from lumora.llm.components import components
 
 SHINGLE, GROUPS, FANOUT = 5, 16, 16
@@ -34,10 +39,12 @@ SHINGLE, GROUPS, FANOUT = 5, 16, 16
 FINE = 256
 #: Meetings of up to so many classes are searched at once.
 SMALL = 16
+#: Neighbours of a large meeting that are paired with the first one of them, too.
+STAR = 64
 #: A shingle in at least so many documents is frequent; at most so many frequent ones are broadcast (8 bytes each).
 #: Both only order the shingles: they change the work, never the result.
 FREQUENT, FREQUENT_ROWS = 40, 200_000
-#: Rows that one task searches for in a meeting; larger meetings are searched by several.
+#: Points and queries that a cell of a large meeting holds, on average.
 SPLIT = 8192
 #: Bits of the filter that keeps texts without candidates at home; false positives cost work only.
 FILTER_BITS = 1 << 25
@@ -82,9 +89,9 @@ class Shingler:
         return np.unique(_mix(s))
 
 
-def class_of(s: np.ndarray) -> int:
-    """A 64-bit name of a set of shingles."""
-    return int((_mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64))
+def class_of(s: np.ndarray, seed: int = 0) -> int:
+    """A 64-bit name of a set of shingles; another seed gives another one."""
+    return int((_mix(s ^ (np.uint64(0x5851F42D4C957F2D) + np.uint64(seed))).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -147,34 +154,34 @@ def _rows(names: list[str], *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(arrays), names=names)
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """Stored rows of two kinds: kind 0, a document (id, row, class, n, fine); kind 1, a shingle (class) that n documents of a batch share.
+def sets_of(docs: DataFrame, seed: int) -> DataFrame:
+    """Stored rows of two kinds: kind 0, a document (id, row, class, second name, n, fine); kind 1, a shingle (class) that n documents of a batch share.
 
     The counts of shingles are lossy: what occurs once in a batch isn't counted.
     """
-    names = ["kind", "id", "row", "class", "n", "fine"]
+    names = ["kind", "id", "row", "class", "second", "n", "fine"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for b in batches:
             sets = [shingles(t) for t in as_bytes(b.column("text"))]
             n = np.array([len(s) for s in sets], np.int64)
-            yield _rows(names, pa.array([0] * len(sets), pa.int8()), b.column("id"), b.column("row"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(n), pa.array([count_vector(s, FINE) if len(s) else None for s in sets], pa.binary()))
+            yield _rows(names, pa.array([0] * len(sets), pa.int8()), b.column("id"), b.column("row"), pa.array([class_of(s, seed) for s in sets], pa.int64()), pa.array([class_of(s, seed + 1) for s in sets], pa.int64()), pa.array(n), pa.array([count_vector(s, FINE) if len(s) else None for s in sets], pa.binary()))
             # a copy in the batch counts once
-            seen: dict[int, np.ndarray] = {class_of(s): s for s in sets}
+            seen: dict[bytes, np.ndarray] = {s.tobytes(): s for s in sets}
             every = np.concatenate(list(seen.values())) if seen else np.empty(0, np.uint64)
             every.sort()
             starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
             k = np.diff(np.concatenate([starts, [len(every)]]))
             often = k >= 2
             s = every[starts[often]].view(np.int64)
-            yield _rows(names, pa.array(np.ones(len(s), np.int8)), pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.int64()), pa.array(s), pa.array(k[often].astype(np.int64)), pa.nulls(len(s), pa.binary()))
+            yield _rows(names, pa.array(np.ones(len(s), np.int8)), pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.int64()), pa.array(s), pa.nulls(len(s), pa.int64()), pa.array(k[often].astype(np.int64)), pa.nulls(len(s), pa.binary()))
 
-    return stored(docs.mapInArrow(run, "kind tinyint, id long, row long, class long, n long, fine binary"))
+    return stored(docs.mapInArrow(run, "kind tinyint, id long, row long, class long, second long, n long, fine binary"))
 
 
-def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """key, class, n, at, counts: the first n/5 or so shingles of each class, rare ones first. A task tells a class once."""
+def prefixes(docs: DataFrame, frequent: np.ndarray, seed: int) -> DataFrame:
+    """key, class, n, at, counts, stored: the first n/5 or so shingles of each class, rare ones first. A task tells a class once."""
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
     names = ["key", "class", "n", "at", "counts"]
 
@@ -185,7 +192,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 keys, classes, sizes, ats, vectors = [], [], [], [], []
                 for text in as_bytes(big.column("text").slice(a, 2000)):
                     s = shingles(text)
-                    if not len(s) or (c := class_of(s)) in told:
+                    if not len(s) or (c := class_of(s, seed)) in told:
                         continue
                     told.add(c)
                     n = len(s)
@@ -214,7 +221,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                         pa.array([v for v, x in zip(vectors, ats, strict=True) for _ in range(x)], pa.binary()),
                     )
 
-    return docs.select("text").mapInArrow(run, "key long, class long, n int, at int, counts binary")
+    return stored(docs.select("text").mapInArrow(run, "key long, class long, n int, at int, counts binary"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -255,89 +262,112 @@ def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """Stored rows of two kinds: kind 0, a candidate pair (a, b); kind 1, a row of a large meeting (key, a, n, room, counts)."""
+    """Stored rows of two kinds: kind 0, a candidate pair (a, b); kind 1, a row of a large or cut meeting (key, a, n, room, counts).
+
+    A task's first and last meeting may go on in other tasks.
+    """
     names = ["kind", "key", "a", "b", "n", "room", "counts"]
 
+    def found(t: pa.Table, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+        key, cls, n, at = (t.column(c).to_numpy() for c in ("key", "class", "n", "at"))
+        n, at = n.astype(np.int64), at.astype(np.int64)
+        # rows come sorted by key, n and class: the same class from two tasks stands side by side
+        keep = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
+        rows_at = np.flatnonzero(keep)
+        starts, size = _bounds(key[rows_at][1:] != key[rows_at][:-1])
+        whole = np.ones(len(starts), bool)
+        whole[[0] * first + [-1] * last] = False
+        a_out, b_out = [], []
+        two = starts[(size == 2) & whole]
+        i, j = rows_at[two], rows_at[two + 1]
+        a_out, b_out = [i], [j]
+        leaf = (size > 2) & (size <= SMALL) & whole
+        for s, g in zip(starts[leaf], size[leaf], strict=True):
+            x, y = np.triu_indices(int(g), 1)
+            a_out.append(rows_at[s + x])
+            b_out.append(rows_at[s + y])
+        i, j = np.concatenate(a_out), np.concatenate(b_out)
+        if len(i):
+            raw = t.column("counts")
+            used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+            c = counts_of(raw.take(pa.array(used)).to_pylist())
+            ci, cj = back[: len(i)], back[len(i) :]
+            ok = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
+            ok &= 9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j])
+            i, j, ci, cj = i[ok], j[ok], ci[ok], cj[ok]
+            ok = 9 * np.minimum(c[ci], c[cj]).sum(axis=1) >= 4 * (n[i] + n[j])
+            i, j = i[ok], j[ok]
+        firsts, seconds = [cls[i]], [cls[j]]
+        large = [(s, g) for s, g in zip(starts[(size > SMALL) | ~whole], size[(size > SMALL) | ~whole], strict=True)]
+        for s, g in large:
+            own = rows_at[s : s + g]
+            star = own[np.arange(g) // STAR * STAR]
+            for x, y in ((own[:-1], own[1:]), (star, own)):
+                near = (9 * np.minimum(n[x] - at[x], n[y] - at[y]) >= 4 * (n[x] + n[y])) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+                firsts.append(cls[x][near])
+                seconds.append(cls[y][near])
+        a, b = _distinct(firsts, seconds)
+        if len(a):
+            yield _rows(names, pa.array(np.zeros(len(a), np.int8)), pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()))
+        if large:
+            own = np.concatenate([rows_at[s : s + g] for s, g in large])
+            for k in range(0, len(own), 50_000):
+                o = own[k : k + 50_000]
+                yield _rows(names, pa.array(np.ones(len(o), np.int8)), pa.array(key[o]), pa.array(cls[o]), pa.nulls(len(o), pa.int64()), pa.array(n[o].astype(np.int32)), pa.array((n[o] - at[o]).astype(np.int32)), t.column("counts").take(pa.array(o)).combine_chunks().cast(pa.binary()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, True
         for t in _groups(batches, ["key"]):
-            key, cls, n, at = (t.column(c).to_numpy() for c in ("key", "class", "n", "at"))
-            n, at = n.astype(np.int64), at.astype(np.int64)
-            # rows come sorted by key, n and class: the same class from two tasks stands side by side
-            keep = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-            rows_at = np.flatnonzero(keep)
-            starts, size = _bounds(key[rows_at][1:] != key[rows_at][:-1])
-            a_out, b_out = [], []
-            two = starts[size == 2]
-            i, j = rows_at[two], rows_at[two + 1]
-            a_out, b_out = [i], [j]
-            for s, g in zip(starts[(size > 2) & (size <= SMALL)], size[(size > 2) & (size <= SMALL)], strict=True):
-                x, y = np.triu_indices(int(g), 1)
-                a_out.append(rows_at[s + x])
-                b_out.append(rows_at[s + y])
-            i, j = np.concatenate(a_out), np.concatenate(b_out)
-            if len(i):
-                raw = t.column("counts")
-                used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-                c = counts_of(raw.take(pa.array(used)).to_pylist())
-                ci, cj = back[: len(i)], back[len(i) :]
-                ok = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
-                ok &= 9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j])
-                i, j, ci, cj = i[ok], j[ok], ci[ok], cj[ok]
-                ok = 9 * np.minimum(c[ci], c[cj]).sum(axis=1) >= 4 * (n[i] + n[j])
-                i, j = i[ok], j[ok]
-            first, second = [cls[i]], [cls[j]]
-            large = [(s, g) for s, g in zip(starts[size > SMALL], size[size > SMALL], strict=True)]
-            for s, g in large:
-                own = rows_at[s : s + g]
-                # neighbours in the tree's order, and all with the one that the meeting's shingle comes first in
-                hub = own[np.argmin(at[own] / n[own])]
-                for x, y in ((own[:-1], own[1:]), (np.full(g, hub), own)):
-                    near = (9 * np.minimum(n[x] - at[x], n[y] - at[y]) >= 4 * (n[x] + n[y])) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
-                    first.append(cls[x][near])
-                    second.append(cls[y][near])
-            a, b = _distinct(first, second)
-            if len(a):
-                yield _rows(names, pa.array(np.zeros(len(a), np.int8)), pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()))
-            if large:
-                own = np.concatenate([rows_at[s : s + g] for s, g in large])
-                for k in range(0, len(own), 50_000):
-                    o = own[k : k + 50_000]
-                    yield _rows(names, pa.array(np.ones(len(o), np.int8)), pa.array(key[o]), pa.array(cls[o]), pa.nulls(len(o), pa.int64()), pa.array(n[o].astype(np.int32)), pa.array((n[o] - at[o]).astype(np.int32)), t.column("counts").take(pa.array(o)).combine_chunks().cast(pa.binary()))
-
-    dealt = rows.repartition(F.col("key")).sortWithinPartitions("key", "n", "class")
+            if held is not None:
+                yield from found(held, first, False)
+                first = False
+            held = t
+        if held is not None:
+            yield from found(held, first, True)
+
+    dealt = rows.repartitionByRange("key", "n", "class").sortWithinPartitions("key", "n", "class")
     return stored(dealt.mapInArrow(run, "kind tinyint, key long, a long, b long, n int, room int, counts binary"))
 
 
 def across(large: DataFrame, parts: DataFrame) -> DataFrame:
-    """a, b: pairs of large meetings whose classes lie in different components and whose bound may suffice."""
+    """a, b: pairs of large meetings whose classes lie in different components and whose bound may suffice.
+
+    A cell holds a part of a meeting's rows as points and a part of those outside of its largest component as queries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["key", "share"]):
-            key, share, cls, comp, n, room, shares = (t.column(c).to_numpy().astype(np.int64) for c in ("key", "share", "a", "component", "n", "room", "shares"))
-            counts = None
-            starts, size = _bounds((key[1:] != key[:-1]) | (share[1:] != share[:-1]))
+        for t in _groups(batches, ["key", "cell"]):
+            key, cell, cls, comp, n, room = (t.column(c).to_numpy().astype(np.int64) for c in ("key", "cell", "a", "component", "n", "room"))
+            asks = t.column("asks").to_numpy().astype(bool)
+            counts = counts_of(t.column("counts").to_pylist())
+            starts, size = _bounds((key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))
             a, b = [], []
             for s, g in zip(starts, size, strict=True):
-                own = slice(int(s), int(s + g))
-                if (comp[own] == comp[s]).all():
+                own = np.arange(s, s + g)
+                queries, points = own[asks[own]], own[~asks[own]]
+                if not len(queries) or not len(points):
                     continue
-                if counts is None:
-                    counts = counts_of(t.column("counts").to_pylist())
-                mine = np.flatnonzero(np.abs(cls[own]) % shares[s] == share[s])
-                tree = CountTree(n[own], counts[own], room[own])
-                for q, p in tree.search(n[own][mine], counts[own][mine], room[own][mine]):
-                    q = mine[q]
-                    other = comp[own][q] != comp[own][p]
-                    a.append(cls[own][q[other]])
-                    b.append(cls[own][p[other]])
+                tree = CountTree(n[points], counts[points], room[points])
+                for q, p in tree.search(n[queries], counts[queries], room[queries]):
+                    q, p = queries[q], points[p]
+                    other = comp[q] != comp[p]
+                    a.append(cls[q[other]])
+                    b.append(cls[p[other]])
             x, y = _distinct(a, b)
             if len(x):
                 yield _rows(["a", "b"], pa.array(x), pa.array(y))
 
-    sizes = large.groupBy("key").agg(F.count("*").alias("g")).select("key", F.ceil(F.col("g") / SPLIT).cast("int").alias("shares"))
-    rows = large.join(sizes, "key").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    rows = rows.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    dealt = rows.select("key", "share", "shares", "a", "component", "n", "room", "counts").repartition("key", "share").sortWithinPartitions("key", "share", "n", "a")
+    rows = large.distinct().join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    each = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
+    open_ = each.groupBy("key").agg(F.sum("k").alias("g"), F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    share = lambda n: F.ceil(n / SPLIT).cast("int")
+    rows = rows.join(open_.select("key", F.col("top.component").alias("largest"), share(F.col("g")).alias("ps"), share(F.col("g") - F.col("top.k")).alias("qs")), "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    mine = lambda n: F.pmod(F.xxhash64("a"), n).cast("int")
+    points = rows.withColumn("q", every(F.col("qs"))).withColumn("p", mine(F.col("ps"))).withColumn("asks", F.lit(False))
+    queries = rows.where("component != largest").withColumn("p", every(F.col("ps"))).withColumn("q", mine(F.col("qs"))).withColumn("asks", F.lit(True))
+    cells = points.unionByName(queries).withColumn("cell", F.col("p").cast("long") * F.col("qs") + F.col("q"))
+    dealt = cells.select("key", "cell", "a", "component", "n", "room", "counts", "asks").repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "a")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -366,7 +396,7 @@ def narrowed(pairs: DataFrame, names: DataFrame) -> DataFrame:
     return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(run, "a long, b long"))
 
 
-def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
     """a, b: the pairs of classes that are linked; stored. names: class, id of one of its documents, n, fine."""
     pairs = narrowed(pairs, names)
     needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().join(names, "class")
@@ -383,7 +413,7 @@ def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
             b = big.filter(pa.array((ids[x >> 3] >> (x & 7)) & 1 == 1))
             at, own = [], []
             for k, text in enumerate(as_bytes(b.column("text"))):
-                c = class_of(shingles(text))
+                c = class_of(shingles(text), seed)
                 x = c % FILTER_BITS
                 if (classes[x >> 3] >> (x & 7)) & 1 and c not in told:
                     told.add(c)
@@ -423,22 +453,30 @@ def _release(spark: SparkSession) -> None:
 
 def _grouped(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows (id, row, class, n) of texts (id, row, text), and of each class with words its component (class, id, component)."""
-    spark = texts.sparkSession
-    sets = sets_of(texts)
-    mine = sets.where("kind = 0 and n > 0")
-    names = stored(mine.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fine").alias("fine")))
+    spark, seed = texts.sparkSession, 0
+    while True:
+        sets = sets_of(texts, seed)
+        mine = sets.where("kind = 0 and n > 0")
+        names = stored(mine.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fine").alias("fine"), F.min("second").alias("least"), F.max("second").alias("most")))
+        if names.where("least != most").isEmpty():
+            break
+        drop_stored(sets, names)  # two sets share a name
+        seed += 2
+    names = names.drop("least", "most")
     often = sets.where("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "class").limit(FREQUENT_ROWS)
     frequent = np.array([r[0] for r in often.select("class").collect()], np.int64)
-    met = meetings(prefixes(texts, frequent))
+    rows = prefixes(texts, frequent, seed)
+    met = meetings(rows)
+    drop_stored(rows)
     _release(spark)
     pairs = stored(met.where("kind = 0").select("a", "b").distinct())
-    links = verified(pairs, names, texts)
+    links = verified(pairs, names, texts, seed)
     parts = components(links)
     large = met.where("kind = 1").select("key", "a", "n", "room", "counts")
     if not large.isEmpty():
         more = stored(across(large, parts).join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            parts = components(links.unionByName(verified(more, names, texts)))
+            parts = components(links.unionByName(verified(more, names, texts, seed)))
     _release(spark)
     grouped = names.join(parts.withColumnRenamed("node", "class"), "class", "left").select("class", "id", F.coalesce("component", "class").alias("component"))
     return sets.where("kind = 0"), grouped
@@ -464,14 +502,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: one of the least doc_id; rows without words all stay."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    own, grouped = _grouped(_texts(numbered, F.col("__row")))
+    """docs with one row of each group: one of the least doc_id; rows without words all stay.
+
+    A null doc_id is the least of all. Of repeated rows one stays. An empty table stays empty; columns of any name stay.
+    """
+    number = fresh(docs, "row")
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()))
+    own, grouped = _grouped(_texts(numbered, F.col(number)))
     # a row a class first: copies don't meet in one task
     first = own.where("n > 0").groupBy("class").agg(F.min(F.struct("id", "row")).alias("first"))
     best = first.join(grouped.select("class", "component"), "class").groupBy("component").agg(F.min("first").alias("best"))
-    keep = best.select(F.col("best.row").alias("__row")).unionByName(own.where("n = 0").select(F.col("row").alias("__row")))
-    return numbered.join(keep, "__row", "left_semi").select(*docs.columns)
+    keep = best.select(F.col("best.row").alias(number)).unionByName(own.where("n = 0").select(F.col("row").alias(number)))
+    return numbered.join(keep, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
