@@ -39,8 +39,8 @@ SHINGLE, GROUPS, FANOUT = 5, 16, 16
 FINE = 256
 #: Meetings of up to so many classes are searched at once.
 SMALL = 16
-#: Neighbours of a large meeting that are paired with the first one of them, too.
-STAR = 64
+#: Up to so many large meetings (three numbers each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: A shingle in at least so many documents is frequent; at most so many frequent ones are broadcast (8 bytes each).
 #: Both only order the shingles: they change the work, never the result.
 FREQUENT, FREQUENT_ROWS = 40, 200_000
@@ -301,8 +301,9 @@ def meetings(rows: DataFrame) -> DataFrame:
         large = [(s, g) for s, g in zip(starts[(size > SMALL) | ~whole], size[(size > SMALL) | ~whole], strict=True)]
         for s, g in large:
             own = rows_at[s : s + g]
-            star = own[np.arange(g) // STAR * STAR]
-            for x, y in ((own[:-1], own[1:]), (star, own)):
+            # neighbours in the tree's order, and all with the one that the meeting's shingle comes first in
+            hub = own[np.argmin(at[own] / n[own])]
+            for x, y in ((own[:-1], own[1:]), (np.full(g, hub), own)):
                 near = (9 * np.minimum(n[x] - at[x], n[y] - at[y]) >= 4 * (n[x] + n[y])) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
                 firsts.append(cls[x][near])
                 seconds.append(cls[y][near])
@@ -357,11 +358,12 @@ def across(large: DataFrame, parts: DataFrame) -> DataFrame:
             if len(x):
                 yield _rows(["a", "b"], pa.array(x), pa.array(y))
 
-    rows = large.distinct().join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    rows = large.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     each = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
     open_ = each.groupBy("key").agg(F.sum("k").alias("g"), F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     share = lambda n: F.ceil(n / SPLIT).cast("int")
-    rows = rows.join(open_.select("key", F.col("top.component").alias("largest"), share(F.col("g")).alias("ps"), share(F.col("g") - F.col("top.k")).alias("qs")), "key")
+    open_ = stored(open_.select("key", F.col("top.component").alias("largest"), share(F.col("g")).alias("ps"), share(F.col("g") - F.col("top.k")).alias("qs")))
+    rows = rows.join(F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_, "key")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     mine = lambda n: F.pmod(F.xxhash64("a"), n).cast("int")
     points = rows.withColumn("q", every(F.col("qs"))).withColumn("p", mine(F.col("ps"))).withColumn("asks", F.lit(False))
