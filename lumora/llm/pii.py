@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,10 +23,13 @@ from pyspark.sql import functions as F
 from lumora.llm.common import map_batches, sample_of_rows, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the field is fitted on, at most, and the longest among them; both bound the driver's memory.
-TRAIN_ROWS, TRAIN_CHARS = 4000, 65_536
-#: Skip links go from each node to the next of the same group, so that a group of n nodes has n - 1 links.
-ROUNDS = 6
+#: Documents that the field is fitted on, at most; their texts, of any length, are cut into pieces of about so many
+#: characters, of which so many at most come to the driver.
+TRAIN_ROWS, PIECE, PIECES = 4000, 4096, 8000
+#: Messages are passed until none changes by more than this, in so many rounds at most.
+STILL, ROUNDS = 1e-3, 200
+#: Largest link potential, and what equal labels of one group have before anything is learned.
+MOST, ALIKE = 6.0, 3.0
 #: Least probability of a label that adds a span.
 SURE = 0.6
 #: The last so many features of a node describe its neighbourhood.
@@ -39,6 +43,7 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NUMBER = re.compile(r"[0-9]+")
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
 _NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _EDGES = ".,;:!?\"'<>[]{}"
 
@@ -85,6 +90,17 @@ def _shape(token: str) -> str:
     return re.sub(r"[^\W\d_]+", "a", s)[:40]
 
 
+def _sound(token: str, digits: str) -> str:
+    """Whether a long number passes Luhn, or a dotted one has parts of at most 255."""
+    if 12 <= len(digits) <= 19 and len(digits) == len(token):
+        return "card" if _luhn(digits) else "no card"
+    if token.count(".") == 3:
+        parts = token.split(".")
+        if all(p.isdecimal() and len(p) < 9 for p in parts):
+            return "ip" if all(int(p) <= 255 for p in parts) else "no ip"
+    return "-"
+
+
 class Node(NamedTuple):
     start: int
     end: int
@@ -115,6 +131,7 @@ def nodes(text: str) -> list[Node]:
             f"letters={min(letters, 3)}",
             f"at={'@' in token},plus={token[:1] == '+'}",
             f"dots={min(token.count('.'), 4)}",
+            f"sound={_sound(token, digits)}",
             f"before={before[0][-12:].lower()}" if before[0] and not re.search("[0-9]", before[0]) and len(before[0]) < 9 else "before=",
             f"left={near(i - 1)}",
             f"right={near(i + 1)}",
@@ -151,47 +168,60 @@ def labels_of(text: str, ns: list[Node]) -> list[int]:
     return [next((1 + k for s, k, e in spans if s < n.end and e > n.start), 0) for n in ns]
 
 
-def fit_texts(texts: list[str], steps: int = 200) -> Model:
-    """Piecewise training: node weights by logistic regression, link potentials by how often labels meet."""
+def fit_texts(texts: list[str], steps: int = 300) -> Model:
+    """Node weights and link potentials together, by pseudo-likelihood: each node's label given its features and its neighbours' labels.
+
+    Labels are those of the patterns. A node that they miss, of a group in which they found another, takes that one's
+    label: so links learn what features can't tell.
+    """
     index: dict[str, int] = {}
-    rows: Counter[tuple[tuple[int, ...], int]] = Counter()
-    met = {"chain": np.full((5, 5), 0.5), "skip": np.full((5, 5), 0.05)}
-    met["skip"][np.diag_indices(5)] += 10
+    rows: Counter[tuple] = Counter()
     for t in texts:
         ns = nodes(t)
         ys = labels_of(t, ns)
-        for n, y in zip(ns, ys, strict=True):
+        of_group = {n.group: y for n, y in zip(ns, ys, strict=True) if y}
+        ys = [y or of_group.get(n.group, 0) for n, y in zip(ns, ys, strict=True)]
+        left, right, near = [0] * len(ns), [0] * len(ns), [[0] * 5 for _ in ns]
+        chain, skip = links(ns)
+        for i, j in chain:  # 0 stands for no neighbour
+            right[i], left[j] = 1 + ys[j], 1 + ys[i]
+        for i, j in skip:
+            near[i][ys[j]] += 1
+            near[j][ys[i]] += 1
+        for i, (n, y) in enumerate(zip(ns, ys, strict=True)):
             f = tuple(index.setdefault(f, len(index)) for f in n.features)
-            rows[f, y] += 0.5
-            rows[f[:-CONTEXT] + (index.setdefault("-", len(index)),) * CONTEXT, y] += 0.5  # as if the context were new
-        for kind, pairs in zip(("chain", "skip"), links(ns), strict=True):
-            for i, j in pairs:
-                met[kind][ys[i], ys[j]] += 1
-    w = np.zeros((max(1, len(index)), 5))
+            unseen = f[:-CONTEXT] + (index.setdefault("-", len(index)),) * CONTEXT  # as if the context were new
+            for shown in (f, unseen):
+                rows[shown, left[i], right[i], tuple(near[i]), y] += 0.5
+    w, chain_, skip_ = np.zeros((max(1, len(index)), 5)), np.zeros((6, 6)), ALIKE * np.eye(5)
     if rows:
-        x = np.array([f for f, _ in rows])
-        y = np.array([k for _, k in rows])
-        c = np.array(list(rows.values()), float)
+        x, at_left, at_right, beside, y = (np.array(v) for v in zip(*rows, strict=True))
+        c = np.array(list(rows.values()), float) / sum(rows.values())
         one = np.eye(5)[y]
-        square = np.full(w.shape, 1e-8)
+        squares = [np.full(v.shape, 1e-8) for v in (w, chain_, skip_)]
         for _ in range(steps):
-            s = w[x].sum(axis=1)
+            s = w[x].sum(axis=1) + chain_[at_left, 1:] + chain_.T[at_right, 1:] + beside @ skip_
             p = np.exp(s - s.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            g = (one - p) * c[:, None] / c.sum()
-            grad = np.stack([np.bincount(x.ravel(), weights=np.repeat(g[:, k], x.shape[1]), minlength=len(w)) for k in range(5)], axis=1) - 1e-4 * w
-            square += grad * grad
-            w += 0.5 * grad / np.sqrt(square)
-
-    def potential(m: np.ndarray) -> np.ndarray:
-        joint = m / m.sum()
-        return np.log(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0))).clip(-3, 3)
-
-    return Model({f: w[i] for f, i in index.items()}, potential(met["chain"]), potential(met["skip"]))
+            g = (one - p) * c[:, None]
+            by_node = np.stack([np.bincount(x.ravel(), weights=np.repeat(g[:, k], x.shape[1]), minlength=len(w)) for k in range(5)], axis=1) - 1e-4 * w
+            by_chain = np.zeros((6, 6))
+            for k in range(5):
+                by_chain[:, 1 + k] += np.bincount(at_left, weights=g[:, k], minlength=6)
+                by_chain[1 + k] += np.bincount(at_right, weights=g[:, k], minlength=6)
+            by_skip = beside.T @ g
+            for v, grad, square in zip((w, chain_, skip_), (by_node, by_chain - 1e-4 * chain_, by_skip + by_skip.T - 1e-4 * (skip_ - ALIKE * np.eye(5))), squares, strict=True):
+                square += grad * grad
+                v += 0.5 * grad / np.sqrt(square)
+            chain_[0] = chain_[:, 0] = 0
+    return Model({f: w[i] for f, i in index.items()}, chain_[1:, 1:].clip(-MOST, MOST), skip_.clip(-MOST, MOST))
 
 
 def beliefs(ns: list[Node], model: Model) -> np.ndarray:
-    """[nodes, 5] probabilities after ROUNDS of loopy sum-product message passing."""
+    """[nodes, 5] probabilities by loopy sum-product message passing, damped, until it stands still.
+
+    Skip links go from each node to the next of its group: n nodes have n - 1 links, and messages go along all of them.
+    """
     zero = np.zeros(5)
     node = np.array([sum((model.weights.get(f, zero) for f in n.features), zero) for n in ns]).reshape(-1, 5)
     chain, skip = links(ns)
@@ -210,7 +240,10 @@ def beliefs(ns: list[Node], model: Model) -> np.ndarray:
             cavity = np.exp(cavity - cavity.max(axis=1, keepdims=True))
             new = np.log(np.einsum("ea,eab->eb", cavity, pot))
             new -= new.max(axis=1, keepdims=True)
+            change = np.abs(new - message).max()
             message = 0.5 * message + 0.5 * new
+            if change < STILL:
+                break
         np.add.at(node, target, message)
     p = np.exp(node - node.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
@@ -246,16 +279,34 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def pieces(text: str) -> Iterator[str]:
+    """The parts of a text with a digit or @, cut at white space where PIECE characters are full."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        cut = _SPACE.search(text, end) if end < len(text) else None
+        end = cut.start() if cut else len(text)
+        if _DIGIT.search(text, at, end) or text.find("@", at, end) >= 0:
+            yield text[at:end]
+        at = end
+
+
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fits the field on at most `rows` documents with a digit or @, those of the smallest hashes."""
-    known = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).where(F.col("text").rlike("[0-9@]"))
-    return fit_texts(sorted(r["text"] for r in sample_of_rows(known, rows, "doc_id", "text").select("text").collect()))
+    """Fits the field on at most `rows` documents with a digit or @, those of the smallest hashes, in at most PIECES pieces."""
+    known = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p for t in b.column("text").to_pylist() for p in pieces(t)], pa.string())], names=["text"])
+
+    every = map_batches(sample_of_rows(known, rows, "doc_id", "text").select("text"), cut, "text string")
+    return fit_texts(sorted(r["text"] for r in every.orderBy(F.xxhash64("text"), "text").limit(PIECES).collect()))
 
 
 def find_all(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (pattern spans), base_sha256, spans: one row for each row of docs.
 
-    A null text counts as empty: no spans, and the digest of the empty text.
+    A null text counts as empty: no spans, and the digest of the empty text. Repeated rows are searched each, texts of
+    any length whole; an empty table gives no rows; other columns are ignored. Where the field and a pattern overlap the pattern stays.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

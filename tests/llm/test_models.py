@@ -176,6 +176,36 @@ def test_skip_chains_carry_labels_over_a_document():
     assert pii.find("", pii.fit_texts([])) == ([], [])
 
 
+def test_added_spans_held_out():
+    """Numbers that a pattern finds in one place are found where they stand in another form; clean numbers stay."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    number = lambda: "".join(rng.choice("0123456789") for _ in range(11))
+
+    def document():
+        d = number()
+        return f"{text(20)} +{d} {text(30)} {rng.randint(1, 99)} {text(9)} {d} {text(12)} {d}. {text(4)}", d
+
+    model = pii.fit_texts([document()[0] for _ in range(300)] + [f"{text(30)} {rng.randint(100, 99999)} {text(20)}" for _ in range(200)])
+    hit = extra = 0
+    for _ in range(100):
+        t, d = document()
+        base, every = pii.find(t, model)
+        added = {t[a:b] for a, _, b in set(every) - set(base)}
+        assert [t[a:b] for a, _, b in base] == ["+" + d]
+        hit += sum(t[a:b] == d for a, _, b in set(every) - set(base))
+        extra += len(added - {d})
+        clean = f"{text(30)} {rng.randint(100, 99999)} {text(20)}"
+        assert pii.find(clean, model) == ([], [])
+    assert hit >= 190 and extra == 0
+    # however many mentions there are, what the first one shows reaches the last
+    d = number()
+    _, every = pii.find(f"+{d} " + f"{text(6)} {d} " * 60, model)
+    assert sum(e - s == 11 for s, _, e in every) == 60
+    assert list(pii.pieces("x" * 5000 + " 1 " + "y" * 5000)) == [" 1 " + "y" * 5000] and "".join(pii.pieces("1 a " * 5000)) == "1 a " * 5000
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><article>";</script><style>p{}</style></head>
 <body class="with-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href="/">Home page</a></li></ul></nav>
 <div id="cookie-notice">We use cookies</div><!-- <article>no</article> --><article><h1>A &amp; B</h1><p>One  <b>two</b>
