@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.common import WORD, stored, table
+from lumora.llm.common import WORD, fresh, stored, table
 
 #: Documents in a chunk, on average; the fan-in of the reduction tree.
 CHUNK = 48
@@ -194,14 +194,15 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Rows of one (doc_id, source, size) share what mix() takes of them evenly. The texts are shuffled once.
     """
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__i"), F.expr(KEY).alias("__s")]
-    made = mix(docs, **options).select(*key, F.col("size").alias("__z"), "copies").groupBy("__i", "__s", "__z").agg(F.sum("copies").alias("__k"), F.count("*").alias("__m")).where("__k > 0")
-    own = docs.select("*", *key, word_count(F.col("text")).alias("__z"))
-    both = own.join(made, ["__i", "__s", "__z"])
-    nth = F.row_number().over(Window.partitionBy("__i", "__s", "__z").orderBy("__i"))  # the join's partitions and order serve
-    times = F.floor(F.col("__k") / F.col("__m")) + (nth <= F.col("__k") % F.col("__m")).cast("long")
-    taken = both.withColumn("__t", times).where("__t > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__t"))).alias("__n")).drop("__n")
+    i, s, z, k, m, t, n = (fresh(docs, x) for x in ("of_id", "of_source", "of_size", "of_copies", "of_rows", "times", "nth"))
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias(i), F.expr(KEY).alias(s)]
+    made = mix(docs, **options).select(*key, F.col("size").alias(z), "copies").groupBy(i, s, z).agg(F.sum("copies").alias(k), F.count("*").alias(m)).where(F.col(k) > 0)
+    own = docs.select("*", *key, word_count(F.col("text")).alias(z))
+    both = own.join(made, [i, s, z])
+    nth = F.row_number().over(Window.partitionBy(i, s, z).orderBy(i))  # the join's partitions and order serve
+    times = F.floor(F.col(k) / F.col(m)) + (nth <= F.col(k) % F.col(m)).cast("long")
+    taken = both.withColumn(t, times).where(F.col(t) > 0)
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(t))).alias(n)).drop(n)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
