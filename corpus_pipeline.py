@@ -10,32 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumora.llm import mixing, neardup, packing, quality, secrets
-from lumora.llm.common import stored, table
+from lumora.llm.common import drop_stored, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the line labels reject go."""
+    """Documents that the base rules or the line labels reject go; null and empty texts with them. Repeated rows fare alike; an empty table stays empty."""
     model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return quality.judge(docs, model).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays."""
+    """Of each group of near duplicates one row of the least doc_id stays (null is the least); rows without words stay. An empty table stays empty."""
     return neardup.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; no document goes."""
+    """Secrets are masked in the text; no row goes, null and empty texts and repeated rows included. An empty table stays empty."""
     return secrets.redact(docs, secrets.fit(docs))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mixture takes it: 0, 1 or 2."""
+    """Each row as many times as the mixture takes it: 0, 1 or 2; rows without words 0 times. Null sources are one of their own. An empty table stays empty."""
     return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences; a document that is taken twice is packed twice."""
+    """Pieces of token sequences; a document that is taken twice is packed twice. A null text is its end alone; no rows give no pieces."""
     return packing.pack(docs)
 
 
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        if last is not None:
+            drop_stored(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
