@@ -517,6 +517,37 @@ def test_pipeline(spark):
     assert P.run(spark, SMALL).count() == frames[4].count()
 
 
+def test_pipeline_takes_any_rows(spark, docs, none, rows, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows, extra columns with clashing names, and empty tables, through every stage."""
+    import corpus_pipeline as P
+
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    extra = [*"__k __row found pieces kept_ x h".split(), "of_id", "row_"]
+    odd = docs.select("*", *[F.lit(1).alias(c) for c in extra])
+    d = stored(odd)
+    before, counts = Counter((r.doc_id, r.text) for r in d.collect()), []
+    for name, stage in P.STAGES[:-1]:
+        d = stored(stage(spark, d, str(tmp_path)))
+        assert d.columns == odd.columns, name
+        counts.append(d.count())
+        if name in ("quality rules", "near duplicates"):
+            assert not Counter((r.doc_id, r.text) for r in d.collect()) - before, name
+    assert 0 < counts[1] == counts[2] < counts[0] < len(rows)
+    # a stage on rows that its predecessor would have dropped
+    for name, stage in P.STAGES[1:-1]:
+        out = stage(spark, stored(odd), str(tmp_path))
+        assert out.columns == odd.columns, name
+        ids = Counter(r.doc_id for r in out.select("doc_id").collect())
+        if name == "secret scan":
+            assert ids == Counter(r[0] for r in rows)
+    pieces = P.STAGES[-1][1](spark, stored(odd), str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(r[0] for r in rows)
+    for name, stage in P.STAGES:
+        assert stage(spark, stored(odd.where("false")), str(tmp_path)).count() == 0, name
+    odd.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registry():
     import __spark_entry__ as entry
 
