@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from enum import Enum
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +64,7 @@ class Scan:
     projection: tuple[int, ...] | None = None
     predicate: X.Expr | None = None
     function: Callable[[Row], bool] | None = None
+    batches: Callable[[pa.RecordBatch], pa.Array] | None = None
     order: tuple[X.OrderBy, ...] = ()
     rows: int | None = None
 
@@ -69,12 +72,16 @@ class Scan:
         return replace(self, projection=tuple(columns))
 
     def filter(self, predicate: X.Expr) -> Scan:
-        """The last filter or filter_fn counts."""
-        return replace(self, predicate=predicate, function=None)
+        """The last filter, filter_fn or filter_batch counts."""
+        return replace(self, predicate=predicate, function=None, batches=None)
 
     def filter_fn(self, function: Callable[[Row], bool]) -> Scan:
         """Any Python condition on a row; it reaches Python in Arrow batches, with all columns."""
-        return replace(self, function=function, predicate=None)
+        return replace(self, function=function, predicate=None, batches=None)
+
+    def filter_batch(self, function: Callable[[pa.RecordBatch], pa.Array]) -> Scan:
+        """As filter_fn, for whole Arrow batches: gives a boolean a row, null for false. There is no Python call a row."""
+        return replace(self, batches=function, predicate=None, function=None)
 
     def order_by(self, order: Sequence[X.OrderBy]) -> Scan:
         return replace(self, order=tuple(order))
@@ -96,6 +103,13 @@ class Scan:
             names = self.table.columns
             test = F.udf(lambda r: bool(function(Row(*names)(*r))), T.BooleanType(), useArrow=True)
             df = df.where(test(F.struct(*[v.column for v in columns])))
+        if self.batches is not None:
+            test_all, titles = self.batches, self.table.columns
+
+            def passes(x: pa.Array) -> pa.Array:
+                return pc.fill_null(test_all(pa.RecordBatch.from_arrays(x.flatten(), names=titles)), False)
+
+            df = df.where(F.arrow_udf(passes, T.BooleanType())(F.struct(*[v.column for v in columns])))
         if self.order:
             keys = [k for o in self.order for k in V.sort_keys(find(o.index), o.descending)]
             df = df.orderBy(*keys, *([rowid] if rowid is not None else []))

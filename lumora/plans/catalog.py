@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +110,11 @@ def _udf(scan: Callable[[str], Scan]) -> DataFrame:
     return s.filter_fn(lambda r: r.p_size % 7 == 3 and r.p_brand.endswith("3")).project(_at(s, "p_partkey", "p_size", "p_brand")).compile()
 
 
+def _batches(scan: Callable[[str], Scan]) -> DataFrame:
+    s = scan("part")
+    return s.filter_batch(lambda b: pc.and_(pc.ends_with(b["p_brand"], "3"), pc.greater(b["p_size"], 40))).project(_at(s, "p_partkey", "p_size", "p_brand")).compile()
+
+
 def _ordered_scan(scan: Callable[[str], Scan]) -> DataFrame:
     s = scan("customer")
     bal, key = _at(s, "c_acctbal", "c_custkey")
@@ -243,6 +249,7 @@ ENTRIES: dict[str, Entry] = {
     "filter_time_ge": _sql("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_shipdate >= '1996-06-01'"),
     "filter_time_not_between": _sql("SELECT o_orderkey FROM orders WHERE o_orderdate NOT BETWEEN '1994-01-01' AND '1996-12-31 12:00:00'"),
     "filter_time_columns": _sql("SELECT o.o_orderkey, l.l_linenumber FROM orders AS o JOIN lineitem AS l ON o.o_orderkey = l.l_orderkey WHERE l.l_shipdate < o.o_orderdate"),
+    "filter_batch": _built(_batches, "SELECT p_partkey, p_size, p_brand FROM part WHERE p_brand LIKE '%3' AND p_size > 40"),
     # aggregates
     "agg_global": _sql(
         "SELECT COUNT(*) AS n, COUNT(l_tax) AS n_tax, SUM(l_linenumber) AS s, SUM(l_extendedprice) AS price, AVG(l_quantity) AS q, MIN(l_shipdate) AS lo, MAX(l_returnflag) AS hi FROM lineitem",

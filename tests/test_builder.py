@@ -4,6 +4,7 @@ import math
 import random
 import sqlite3
 
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ def test_scan(items):
     assert rows(s.filter(X.col(0)).compile()) == []
     assert rows(s.filter(X.col(0).like(X.lit_bytes("A%"))).project([1]).compile()) == [(1,), (None,)]
     assert rows(s.filter_fn(lambda r: r.val == 2).compile()) == [("b", 2), ("b", 2)]
+    assert rows(s.filter_batch(lambda b: pc.greater_equal(b["val"], 2)).project([1]).compile()) == [(2,), (2,), (5,)]
+    assert rows(s.filter_batch(lambda b: b["val"]).filter(X.col(1).eq(X.lit_i64(5))).project([1]).compile()) == [(5,)]
     assert rows(s.limit(0).compile()) == []
     seen = []
     s.order_by([X.asc(0)]).limit(3).for_each(lambda r: seen.append(tuple(r)))
