@@ -27,6 +27,8 @@ ROWID = "_rowid"
 class Table:
     name: str
     df: DataFrame
+    #: Where the source can't prune columns by itself: reads the row number and the named columns only.
+    narrow: Callable[[list[str]], DataFrame] | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -36,8 +38,12 @@ class Table:
     def has_rowid(self) -> bool:
         return ROWID in self.df.columns
 
-    def numbered(self, prefix: str) -> tuple[DataFrame, list[V.Value], Column | None]:
-        """The rows under unique names, the columns as values, and the row number."""
+    def numbered(self, prefix: str, used: set[int] | None = None) -> tuple[DataFrame, list[V.Value], Column | None]:
+        """The rows under unique names, the columns as values, and the row number. used: positions that matter; others may be null."""
+        if used is not None and self.narrow is not None and len(used) < len(self.columns):
+            few = self.narrow([c for i, c in enumerate(self.columns) if i in used])
+            kinds = {f.name: f.dataType for f in self.df.schema.fields}
+            return Table(self.name, few.select(*[F.col(f"`{c}`") if c in few.columns else F.lit(None).cast(kinds[c]).alias(c) for c in self.df.columns])).numbered(prefix)
         names = [f"{prefix}{i}" for i in range(len(self.columns))]
         renamed = dict(zip(self.columns, names, strict=True))
         types = [f.dataType for f in self.df.schema.fields if f.name != ROWID]

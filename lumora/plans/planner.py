@@ -27,6 +27,11 @@ class _Names:
 
     def __init__(self, sides: list[_Side]):
         self.sides = sides
+        self.used: set[int] = set()  # positions that were found
+
+    def used_of(self, side: int) -> set[int]:
+        s = self.sides[side]
+        return {at - s.base for at in self.used if s.base <= at < s.base + len(s.columns)}
 
     def find(self, name: P.Name) -> int:
         column, qualifier = name.parts[-1].lower(), name.parts[-2].lower() if len(name.parts) > 1 else None
@@ -38,6 +43,7 @@ class _Names:
             raise E.SqlUnknownColumn(".".join(name.parts))
         if len(found) > 1:
             raise E.SqlAmbiguousColumn(".".join(name.parts))
+        self.used.add(found[0])
         return found[0]
 
     def all_of(self, star: P.Star) -> list[tuple[int, str]]:
@@ -48,7 +54,9 @@ class _Names:
                 raise E.SqlUnknownColumn(f"{star.table}.*")
             if len(sides) > 1:
                 raise E.SqlAmbiguousColumn(f"{star.table}.*")
-        return [(s.base + i, c) for s in sides for i, c in enumerate(s.columns)]
+        out = [(s.base + i, c) for s in sides for i, c in enumerate(s.columns)]
+        self.used.update(at for at, _ in out)
+        return out
 
 
 def _operand(e: object, find: Callable[[object], X.Expr]) -> X.Expr:
@@ -157,15 +165,15 @@ def plan(s: P.Select, table: Callable[[str], Table], strategy: JoinStrategy = Jo
             order.append((own[0] if own else names.find(o.expr), o.descending))
         else:
             raise E.SqlUnsupported("ORDER BY an expression")
-    left, columns, l_id = tables[0].numbered("l" if s.join else "c")
+    a, b = _keys(s.on, names, sides) if s.join is not None else (0, 0)
+    left, columns, l_id = tables[0].numbered("l" if s.join else "c", names.used_of(0))
     ids = [l_id]
     if s.join is None:
         df = left
     else:
-        right, more, r_id = tables[1].numbered("r")
+        right, more, r_id = tables[1].numbered("r", names.used_of(1))
         columns = columns + more
         ids.append(r_id)
-        a, b = _keys(s.on, names, sides)
         df = joined(left, right, columns[a], columns[b], JoinType.LEFT if s.left_join else JoinType.INNER, strategy)
     find = X.resolver(columns)
     if where is not None:
@@ -292,7 +300,7 @@ def _aggregate(s: P.Select, table: Table, names: _Names, promote: bool) -> DataF
             at = output(o.expr).index
         order.append((at, o.descending))
     where = None if s.where is None else _condition(s.where, lambda e: _column(e, names))
-    df, columns, rowid = table.numbered("c")
+    df, columns, rowid = table.numbered("c", names.used_of(0))
     find = X.resolver(columns)
     if where is not None:
         df = df.where(X.predicate(where, find))

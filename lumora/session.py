@@ -51,7 +51,7 @@ class Engine:
                 real = next((n for n in self.table_names() if n.lower() == key), None)
                 if real is None:
                     raise TableNotFound(name)
-                self._tables[key] = Table(real, sqlite.read(self.spark, self.path, real))
+                self._tables[key] = Table(real, sqlite.read(self.spark, self.path, real), lambda columns: sqlite.read(self.spark, self.path, real, columns=columns))
             else:
                 self._tables[key] = files.parquet_table(self.spark, self.path, key)
         return self._tables[key]

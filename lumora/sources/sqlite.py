@@ -6,6 +6,7 @@ differ in class it is the tagged struct of lumora.functions.values. Integers amo
 
 from __future__ import annotations
 
+import json
 import os
 import sqlite3
 from collections.abc import Callable, Iterator
@@ -73,16 +74,17 @@ def find_in_schema(path: str, test: Callable[[dict[str, object]], bool]) -> dict
     return None
 
 
-def schema_of(path: str, table: str) -> T.StructType:
-    """_rowid, then a field a column, by the classes of its values; a column without values is text."""
+def schema_of(path: str, table: str, columns: list[str] | None = None) -> T.StructType:
+    """_rowid, then a field a column (of those that are named, if any are), by the classes of its values; a column without values is text."""
     with connect(path) as con:
         names = _columns(con, table)
         if not names:
             raise TableNotFound(table)
+        names = names if columns is None else [n for n in names if n in columns]
         out = T.StructType([T.StructField(ROWID, T.LongType())])
         classes = ("integer", "real", "text", "blob")
         asked = ", ".join(f"max(typeof({_quote(n)}) = '{c}')" for n in names for c in classes)
-        seen = iter(con.execute(f"SELECT {asked} FROM {_quote(table)}").fetchone())  # one pass for all columns
+        seen = iter(con.execute(f"SELECT {asked} FROM {_quote(table)}").fetchone() if names else ())  # one pass for all columns
         for n in names:
             found = {c for c, here in zip(classes, [next(seen) for _ in classes], strict=True) if here}
             single = {"integer": T.LongType(), "real": T.DoubleType(), "text": T.StringType(), "blob": T.BinaryType()}
@@ -128,12 +130,12 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         fields = self.schema.fields[1:]
-        listed = ", ".join(_quote(f.name) for f in fields)
+        listed = "".join(f", {_quote(f.name)}" for f in fields)
         with connect(self.path) as con:
             if partition.low is None:
-                rows = con.execute(f"SELECT NULL, {listed} FROM {_quote(self.table)}")
+                rows = con.execute(f"SELECT NULL{listed} FROM {_quote(self.table)}")
             else:
-                rows = con.execute(f"SELECT rowid, {listed} FROM {_quote(self.table)} WHERE rowid BETWEEN ? AND ? ORDER BY rowid", (partition.low, partition.high))
+                rows = con.execute(f"SELECT rowid{listed} FROM {_quote(self.table)} WHERE rowid BETWEEN ? AND ? ORDER BY rowid", (partition.low, partition.high))
             # blobs and texts both come as bytes: their classes are asked for where it matters
             mixed = [i for i, f in enumerate(fields) if f.dataType == MIXED]
             if mixed:
@@ -164,8 +166,8 @@ _MIXED_ARROW = pa.struct([("rank", pa.int32()), ("i", pa.int64()), ("r", pa.floa
 
 def rows_sql(listed: str, kinds: str, table: str, numbered: bool) -> str:
     if not numbered:
-        return f"SELECT NULL, {listed}, {kinds} FROM {_quote(table)}"
-    return f"SELECT rowid, {listed}, {kinds} FROM {_quote(table)} WHERE rowid BETWEEN ? AND ? ORDER BY rowid"
+        return f"SELECT NULL{listed}, {kinds} FROM {_quote(table)}"
+    return f"SELECT rowid{listed}, {kinds} FROM {_quote(table)} WHERE rowid BETWEEN ? AND ? ORDER BY rowid"
 
 
 def _text(value: bytes, row: int | None) -> str:
@@ -190,23 +192,25 @@ def _tagged(value: object, kind: bytes, row: int | None) -> dict | None:
 
 
 class SqliteSource(DataSource):
-    """Options: path, table, partitions (8)."""
+    """Options: path, table, partitions (8), columns (a JSON list; all by default)."""
 
     @classmethod
     def name(cls) -> str:
         return "lumora_sqlite"
 
     def schema(self) -> T.StructType:
-        return schema_of(self.options["path"], self.options["table"])
+        named = self.options.get("columns")
+        return schema_of(self.options["path"], self.options["table"], None if named is None else json.loads(named))
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _Reader(dict(self.options), schema)
 
 
-def read(spark: SparkSession, path: str, table: str, partitions: int = 8) -> DataFrame:
+def read(spark: SparkSession, path: str, table: str, partitions: int = 8, columns: list[str] | None = None) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("lumora_sqlite").option("path", path).option("table", table).option("partitions", partitions).load()
+    reader = spark.read.format("lumora_sqlite").option("path", path).option("table", table).option("partitions", partitions)
+    return (reader if columns is None else reader.option("columns", json.dumps(columns))).load()
 
 
 def schema_table(spark: SparkSession, path: str) -> Table:

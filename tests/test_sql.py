@@ -284,6 +284,21 @@ def test_typed_rows(db):
         text.get(2)
 
 
+def test_only_the_columns_that_a_query_names_are_read(db):
+    engine, con = db
+    asked = []
+    t = engine.table("station")
+    read = t.narrow
+    engine._tables["station"] = dataclasses.replace(t, narrow=lambda columns: asked.append(columns) or read(columns))
+    try:
+        for sql, columns in (("SELECT label FROM station WHERE height > 0 ORDER BY code", ["code", "label", "height"]), ("SELECT COUNT(*) FROM station", []), ("SELECT zone, COUNT(*) FROM station GROUP BY zone ORDER BY zone", ["zone"]), ("SELECT r.remark FROM reading r JOIN station s ON r.station = s.code ORDER BY r.remark, r.level", ["code"])):
+            assert cells(engine.query(sql).collect()) == cells(con.execute(sql).fetchall()) and asked.pop() == columns and not asked
+        engine.query("SELECT * FROM station")
+        assert not asked
+    finally:
+        engine._tables["station"] = t
+
+
 def test_lookup_by_row_number_reads_one_range(db):
     t = db[0].table("of old")
     assert [r["order"] for r in t.df.where("_rowid = 90000").collect()] == ["w"]
