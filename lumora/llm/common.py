@@ -7,7 +7,9 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,18 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (A-Z in lower case), one after another, and how many each text has; null has none."""
+    own = texts.take(pa.array(np.arange(len(texts))))  # a copy: ascii_lower goes wrong on some slices
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(own.cast(pa.large_string()).fill_null("")))
+    flat, n = lists.flatten(), np.asarray(lists.value_lengths(), np.int64)
+    full = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    if not full.all():  # around white space at an end of a text
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[full], minlength=len(n))
+        flat = flat.filter(pa.array(full))
+    return flat, n
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str, start: Callable[[], object] | None = None) -> DataFrame:
     """mapInArrow with one function call a batch. start: runs once a task, before the first batch."""
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import fold_column, map_batches, stored, table
+from lumora.llm.common import fold_column, map_batches, stored, table, tokens
 
 END = b"\n"  # no word: words have no white space
 VOCABULARY, CLASS, SHAPES, HIDDEN, WINDOW = 4096, 64, 16, 16, 32
@@ -49,17 +49,6 @@ def shape(word: bytes) -> int:
     return 6 + (w[-1] * 31 + (w[-2] if len(w) > 1 else 0) * 7) % (SHAPES - 6)
 
 
-def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts, without the ends, and how many each text has."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
-    flat, n = lists.flatten(), np.asarray(lists.value_lengths(), np.int64)
-    full = np.asarray(pc.greater(pc.binary_length(flat), 0))
-    if not full.all():  # around white space at an end of a text
-        n = np.bincount(np.repeat(np.arange(len(n)), n)[full], minlength=len(n))
-        flat = flat.filter(pa.array(full))
-    return flat, n
-
-
 def counted(docs: DataFrame, held_out: int = 1) -> DataFrame:
     """word, shape, c: a row a word of the training documents, stored."""
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import as_bytes, drop_stored, fresh, stored, table
+from lumora.llm.common import as_bytes, drop_stored, fresh, stored, table, tokens
 from lumora.llm.components import components
 
 SHINGLE, GROUPS, FANOUT = 5, 16, 16
@@ -89,6 +89,28 @@ class Shingler:
         return np.unique(_mix(s))
 
 
+def shingle_sets(texts: pa.Array, rows: int = 2000) -> Iterator[np.ndarray]:
+    """What Shingler gives for each text, for `rows` texts at once: words are hashed once a portion."""
+    for at in range(0, len(texts), rows):
+        words, n = tokens(texts.slice(at, rows))
+        words = words.dictionary_encode()
+        each = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(words.dictionary))
+        h = each[np.asarray(words.indices)]
+        m = max(0, len(h) - SHINGLE + 1)
+        s = h[:m] * _P[0]
+        for k in range(1, SHINGLE):
+            s += h[k : m + k] * _P[k]
+        s = _mix(s)
+        for a, k in zip((np.cumsum(n) - n).tolist(), n.tolist(), strict=True):
+            if k >= SHINGLE:
+                own = np.sort(s[a : a + k - SHINGLE + 1])
+                yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+            elif k:
+                yield _mix((h[a : a + k] * _P[:k]).sum(keepdims=True) + _SHORT[k : k + 1])
+            else:
+                yield h[:0]
+
+
 def class_of(s: np.ndarray, seed: int = 0) -> int:
     """A 64-bit name of a set of shingles; another seed gives another one."""
     return int((_mix(s ^ (np.uint64(0x5851F42D4C957F2D) + np.uint64(seed))).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64))
@@ -162,9 +184,8 @@ def sets_of(docs: DataFrame, seed: int) -> DataFrame:
     names = ["kind", "id", "row", "class", "second", "n", "fine"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
         for b in batches:
-            sets = [shingles(t) for t in as_bytes(b.column("text"))]
+            sets = list(shingle_sets(b.column("text")))
             n = np.array([len(s) for s in sets], np.int64)
             yield _rows(names, pa.array([0] * len(sets), pa.int8()), b.column("id"), b.column("row"), pa.array([class_of(s, seed) for s in sets], pa.int64()), pa.array([class_of(s, seed + 1) for s in sets], pa.int64()), pa.array(n), pa.array([count_vector(s, FINE) if len(s) else None for s in sets], pa.binary()))
             # a copy in the batch counts once
@@ -186,12 +207,11 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, seed: int) -> DataFrame:
     names = ["key", "class", "n", "at", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, hot, told = Shingler(), shared.value, set()
+        hot, told = shared.value, set()
         for big in batches:
             for a in range(0, big.num_rows, 2000):
                 keys, classes, sizes, ats, vectors = [], [], [], [], []
-                for text in as_bytes(big.column("text").slice(a, 2000)):
-                    s = shingles(text)
+                for s in shingle_sets(big.column("text").slice(a, 2000)):
                     if not len(s) or (c := class_of(s, seed)) in told:
                         continue
                     told.add(c)
@@ -409,13 +429,13 @@ def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, seed: int) ->
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of one id may have different texts: ids only save work, classes decide. A task tells a class once
         ids, classes = (np.frombuffer(x, np.uint8) for x in bits.value)
-        shingles, told = Shingler(), set()
+        told = set()
         for big in batches:
             x = big.column("bit").to_numpy()
             b = big.filter(pa.array((ids[x >> 3] >> (x & 7)) & 1 == 1))
             at, own = [], []
-            for k, text in enumerate(as_bytes(b.column("text"))):
-                c = class_of(shingles(text), seed)
+            for k, s in enumerate(shingle_sets(b.column("text"))):
+                c = class_of(s, seed)
                 x = c % FILTER_BITS
                 if (classes[x >> 3] >> (x & 7)) & 1 and c not in told:
                     told.add(c)

@@ -444,12 +444,23 @@ def test_gradients_of_the_language_model():
         a[at] = old
 
 
+def test_shingles_of_many_texts_are_those_of_each():
+    rng = random.Random(15)
+    texts = ["".join(rng.choice(["A ", "b ", "É", "c d e f ", " ", "\n", "x y z x y z "]) for _ in range(rng.randint(0, 14))) for _ in range(2500)] + [None, "", "one"]
+    one = neardup.Shingler()
+    got = list(neardup.shingle_sets(pa.array(texts), 700))
+    assert len(got) == len(texts) and all((g == one((t or "").encode())).all() and len(g) == len(one((t or "").encode())) for g, t in zip(got, texts, strict=True))
+
+
 def test_tokens_of_texts_against_brute_force():
     rng = random.Random(10)
     texts = ["".join(rng.choice(["A", "b", "É", "é", " ", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "\u2003", "."]) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None, ""]
     flat, n = lm.tokens(pa.array(texts))
     want = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
     assert list(n) == list(map(len, want)) and flat.to_pylist() == [w for ws in want for w in ws]
+    for at in [*range(0, 3000, 8), *range(1, 3000, 97)]:  # slices of any offset, as batches are cut
+        flat, n = lm.tokens(pa.array(texts).slice(at, 300))
+        assert list(n) == list(map(len, want[at : at + 300])) and flat.to_pylist() == [w for ws in want[at : at + 300] for w in ws]
 
 
 def test_texts_of_one_kind_have_a_shape():

@@ -55,7 +55,9 @@ def lower(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
-def test_language_model(spark, docs, none, rows):
+@pytest.mark.parametrize("at_once", [lm.ROWS, 7])
+def test_language_model(spark, docs, none, rows, monkeypatch, at_once):
+    monkeypatch.setattr(lm, "ROWS", at_once)  # batches in several slices, too
     counts = lm.counted(docs)
     v = lm.vocabulary(counts)
     got = lm.score(docs, counts, v, lm.fit(docs, v)).collect()
