@@ -34,6 +34,9 @@ FAN = 32
 STREAMS, SEGMENT = 128, 1024
 #: Rows that are scored side by side, and words whose outputs are worked out at once.
 ROWS, OUTPUTS = 2500, 32_768
+#: Rows of a softmax that are worked out at once: they stay in a processor's own cache.
+BLOCK = 1024
+ONE, HALF = np.float32(1), np.float32(0.5)
 
 _DE, _ES, _FR = (frozenset(s) for s in ("äöüß", "ñíóáú", "éèêëàçùûîïôâ"))
 
@@ -49,6 +52,21 @@ def shape(word: bytes) -> int:
     return 6 + (w[-1] * 31 + (w[-2] if len(w) > 1 else 0) * 7) % (SHAPES - 6)
 
 
+def shapes(words: pa.Array) -> np.ndarray:
+    """shape() of every word, by whole columns."""
+    words = words.cast(pa.large_binary())
+    odd = np.flatnonzero(~np.asarray(pc.string_is_ascii(words.cast(pa.large_string(), safe=False)), bool))
+    bare = pc.ascii_trim(words.cast(pa.large_string(), safe=False), characters=".,;:!?\"'()-")
+    ends = np.frombuffer(bare.buffers()[1], np.int64)[bare.offset : bare.offset + len(bare) + 1]
+    n, raw = np.diff(ends), np.frombuffer(bare.buffers()[2] or b"", np.uint8)
+    last, before = np.zeros(len(bare), np.int64), np.zeros(len(bare), np.int64)
+    last[n > 0], before[n > 1] = raw[ends[1:][n > 0] - 1], raw[ends[1:][n > 1] - 2]
+    other = np.where(np.asarray(pc.match_substring_regex(bare, "[0-9]"), bool), 4, 5)
+    out = np.where(np.asarray(pc.ascii_is_alpha(bare), bool), 6 + (last * 31 + before * 7) % (SHAPES - 6), other)
+    out[odd] = [shape(w) for w in words.take(pa.array(odd)).to_pylist()]
+    return out.astype(np.int32)
+
+
 def counted(docs: DataFrame, held_out: int = 1) -> DataFrame:
     """word, shape, c: a row a word of the training documents, stored."""
 
@@ -58,11 +76,11 @@ def counted(docs: DataFrame, held_out: int = 1) -> DataFrame:
                 words, n = tokens(b.column("text"))
                 words = words.dictionary_encode()
                 c = np.bincount(np.asarray(words.indices), minlength=len(words.dictionary))
-                names = [*words.dictionary.cast(pa.large_binary()).to_pylist(), END]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.append(c, len(n)), pa.int64())], names=["word", "c"])
+                names = pa.concat_arrays([words.dictionary.cast(pa.large_binary()).cast(pa.binary()), pa.array([END], pa.binary())])
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.append(c, len(n)), pa.int64())], names=["word", "c"])
 
     def shaped(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(map(shape, b.column("word").to_pylist()), pa.int32())], names=["word", "c", "shape"])
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(shapes(b.column("word")))], names=["word", "c", "shape"])
 
     rows = docs.where(fold_column() != held_out).select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     return stored(map_batches(rows, shaped, "word binary, c long, shape int"))
@@ -127,44 +145,50 @@ def start_weights(v: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
 
 
 def _inputs(w: dict, x: np.ndarray) -> np.ndarray:
-    """What inputs add to the gates; halved where the logistic function, as a tanh, wants half of it."""
-    g = w["g"][x]
-    g[:, : 2 * HIDDEN] *= 0.5
-    return g
+    """What inputs add to the two gates and the candidate, one after another; halved where the logistic function, as a tanh, wants half of it."""
+    out = w["g"].reshape(-1, 3, HIDDEN).transpose(1, 0, 2).take(x, axis=1)
+    out[:2] *= 0.5
+    return out
 
 
 def _recurrent(w: dict) -> np.ndarray:
-    u = w["u"].copy()
-    u[:, : 2 * HIDDEN] *= 0.5
+    u = np.ascontiguousarray(w["u"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+    u[:2] *= 0.5
     return u
 
 
-def _step(u: np.ndarray, h: np.ndarray, g: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
-    """The next state from the last one, by _recurrent weights and _inputs. keep: takes both gates, what the reset gate weighs, and the candidate."""
-    n = HIDDEN
-    hu = h @ u
-    gates = g[:, : 2 * n] + hu[:, : 2 * n]
+def _step(u: np.ndarray, h: np.ndarray, g: np.ndarray, hu: np.ndarray, new: np.ndarray) -> None:
+    """The next state from the last one, h, into new (which may be h), by _recurrent weights and _inputs.
+
+    hu takes both gates and what the reset gate weighs; the last part of g becomes the candidate.
+    """
+    np.matmul(h, u, out=hu)
+    gates, c = hu[:2], g[2]
+    gates += g[:2]
     np.tanh(gates, out=gates)
-    gates += 1
-    gates *= 0.5
-    z = gates[:, :n]
-    c = gates[:, n:] * hu[:, 2 * n :]
-    c += g[:, 2 * n :]
+    gates += ONE  # a scalar of the arrays' own type needs no cast
+    gates *= HALF
+    c += gates[1] * hu[2]
     np.tanh(c, out=c)
-    if keep is not None:
-        keep[:, : 2 * n], keep[:, 2 * n : 3 * n], keep[:, 3 * n :] = gates, hu[:, 2 * n :], c
-    new = h - c
-    new *= z
+    np.subtract(h, c, out=new)
+    new *= gates[0]
     new += c
-    return new
 
 
-def _odds(part: np.ndarray, weights: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """exp(part @ weights), by rows up to factors whose logs are given too, where not all of it is sure to be finite."""
-    x, most = part @ weights, None
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where each of the sorted keys stands first."""
+    first = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    return np.flatnonzero(first)
+
+
+def _odds(weights: np.ndarray, states: np.ndarray, room: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """exp(weights @ states) in room, by columns up to factors whose logs are given too, where not all of it is sure to be finite."""
+    x, most = room[: len(weights) * states.shape[1]].reshape(len(weights), -1), None
+    np.matmul(weights, states, out=x)
     if not safe:
-        most = x.max(axis=1)
-        x -= most[:, None]
+        most = x.max(axis=0)
+        x -= most
     return np.exp(x, out=x), most
 
 
@@ -172,50 +196,68 @@ def _outputs(w: dict, h: np.ndarray, x: np.ndarray, classes: int, grad: dict | N
     """log P of inputs x from states h, without shapes' own shares; with grad, adds to it and returns d(-log P)/dh instead.
 
     States lie between -1 and 1, so the sum of a row's absolute weights bounds what it adds to a bias.
+    States are columns here. Odds are not divided by their sums: what is multiplied by them is, being shorter.
     """
+    order = np.argsort(x.astype(np.int16), kind="stable")  # by class, too
+    x, h = x.take(order), h.take(order, axis=0)
     cls = np.where(x < VOCABULARY, x // CLASS, classes + x - VOCABULARY)
-    order = np.argsort(cls.astype(np.int16), kind="stable")
-    cls, x = cls[order], x[order]
-    ends, n = np.searchsorted(cls, np.arange(classes + 1)).tolist(), np.arange(len(x))
-    ones = np.empty((len(x), HIDDEN + 1), h.dtype)  # the last column stands for the bias
-    ones[:, :-1], ones[:, -1] = h[order], 1
-    bo = w["bo"].reshape(-1, CLASS)
-    inner = np.concatenate([w["wo"], (bo - bo.max(axis=1, keepdims=True)).reshape(-1, 1)], axis=1)
-    outer = np.concatenate([w["wc"], (w["bc"] - w["bc"].max())[None, :]])
-    safe = max(np.abs(w["wo"]).sum(axis=1).max(initial=0), np.abs(w["wc"]).sum(axis=0).max(initial=0)) < 40
-    wo, out = w["wo"], np.zeros(len(x)) if grad is None else np.zeros(h.shape, h.dtype)
-
-    def softmax(part: np.ndarray, weights: np.ndarray, at: np.ndarray, rows: slice) -> np.ndarray | None:
-        p, most = _odds(part, weights, safe)
-        if grad is None:
-            # the score itself is taken again, as an exp of it may have become 0
-            own = np.einsum("ij,ji->i", part, weights[:, at]) - (0 if most is None else most)
-            out[rows] += own - np.log(p.sum(axis=1))
-            return None
-        p /= p.sum(axis=1, keepdims=True)
-        p[n[: len(at)], at] -= 1
-        return p
-
-    p = softmax(ones, outer, cls, slice(None))
-    if p is not None:
-        d = ones.T @ p
-        grad["wc"] += d[:-1]
-        grad["bc"] += d[-1]
-        out += p @ w["wc"].T
-    for k in range(classes):
-        a, b = ends[k], ends[k + 1]
-        if a == b:
-            continue
-        own = slice(k * CLASS, (k + 1) * CLASS)
-        p = softmax(ones[a:b], inner[own].T, x[a:b] - k * CLASS, slice(a, b))
-        if p is not None:
-            d = p.T @ ones[a:b]
-            grad["wo"][own] += d[:, :-1]
-            grad["bo"][own] += d[:, -1]
-            out[a:b] += p @ wo[own]
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+    ends = np.searchsorted(cls, np.arange(classes + 1)).tolist()
+    known = ends[classes]
+    ones = np.empty((HIDDEN + 1, len(x)), h.dtype)  # the last row stands for the bias
+    ones[:-1], ones[-1] = h.T, 1
+    wo, wc, bo = w["wo"], np.ascontiguousarray(w["wc"].T), w["bo"].reshape(-1, CLASS)
+    inner, outer = np.empty((len(wo), HIDDEN + 1), wo.dtype), np.empty((len(wc), HIDDEN + 1), wc.dtype)
+    inner[:, :-1], inner[:, -1] = wo, (bo - bo.max(axis=1, keepdims=True)).ravel()
+    outer[:, :-1], outer[:, -1] = wc, w["bc"] - w["bc"].max()
+    each = np.ones(max(CLASS, HIDDEN, len(outer)), h.dtype)
+    safe = max((np.abs(y) @ each[:HIDDEN]).max(initial=0) for y in (wo, wc)) < 40
+    room = np.empty(BLOCK * max(CLASS, len(outer)), h.dtype)
+    # outputs and the inputs that choose among them
+    over = [(slice(0, len(outer)), slice(a, min(a + BLOCK, len(x)))) for a in range(0, len(x), BLOCK)]
+    inside = [(slice(k * CLASS, (k + 1) * CLASS), slice(a, min(a + BLOCK, ends[k + 1]))) for k in range(classes) for a in range(ends[k], ends[k + 1], BLOCK)]
+    if grad is None:
+        # the scores themselves are taken apart, as an exp of them may have become 0
+        out = np.einsum("ij,ij->i", h, wc.take(cls, axis=0)) + outer[:, -1].take(cls).astype(np.float64)
+        out[:known] += np.einsum("ij,ij->i", h[:known], wo.take(x[:known], axis=0)) + inner[:, -1].take(x[:known])
+        for weights, parts in ((outer, over), (inner, inside)):
+            sums = np.ones(len(x), h.dtype)
+            for own, rows in parts:
+                p, most = _odds(weights[own], ones[:, rows], room, safe)
+                np.matmul(each[: len(p)], p, out=sums[rows])
+                if most is not None:
+                    out[rows] -= most
+            out -= np.log(sums)
+    else:
+
+        def expected(weights: np.ndarray, parts: list[tuple[slice, slice]], back: np.ndarray) -> np.ndarray:
+            """The sums of states by outputs; back takes the weights that states expect."""
+            d, values = np.zeros(weights.shape, h.dtype), np.ascontiguousarray(weights.T)
+            values[-1] = 1
+            for own, rows in parts:
+                p, _ = _odds(weights[own], ones[:, rows], room, safe)
+                t = back[:, rows]
+                np.matmul(values[:, own], p, out=t)
+                d[own] += p @ (ones[:, rows] / t[-1]).T
+            back[:-1] /= back[-1]
+            return d
+
+        back, more = np.empty(ones.shape, h.dtype), np.empty((len(ones), known), h.dtype)
+        d, at = expected(outer, over, back), _starts(cls)
+        d[cls[at]] -= np.add.reduceat(ones, at, axis=1).T
+        grad["wc"] += d[:, :-1].T
+        grad["bc"] += d[:, -1]
+        if known:
+            d, at = expected(inner, inside, more), _starts(x[:known])
+            d[x[at]] -= np.add.reduceat(ones[:, :known], at, axis=1).T
+            grad["wo"] += d[:, :-1]
+            grad["bo"] += d[:, -1]
+            back[:-1, :known] += more[:-1]
+        out = np.ascontiguousarray(back[:-1].T)
+        out -= wc.take(cls, axis=0)
+        out[:known] -= wo.take(x[:known], axis=0)
+    inverse = np.empty(len(x), np.int64)
+    inverse[order] = np.arange(len(x))
+    return out.take(inverse, axis=0)
 
 
 def train(w: dict[str, np.ndarray], docs: Iterator[np.ndarray], classes: int, rate: float = 0.1) -> int:
@@ -232,59 +274,66 @@ def train(w: dict[str, np.ndarray], docs: Iterator[np.ndarray], classes: int, ra
         rows = [i for i in range(STREAMS) if live[i] is not None]
         if not rows:
             return read
-        rows.sort(key=lambda i: live[i][1] - len(live[i][0]))
+        rows.sort(key=lambda i: live[i][1] - len(live[i][0]))  # windows get shorter, too
         window = [live[i][0][live[i][1] : live[i][1] + WINDOW] for i in rows]
         for i in rows:
             live[i] = (live[i][0], live[i][1] + WINDOW)
-        length = max(map(len, window))
-        order = sorted(range(len(rows)), key=lambda k: -len(window[k]))
-        rows, window = [rows[k] for k in order], [window[k] for k in order]
         lens = np.array(list(map(len, window)))
-        by_time = np.zeros((length, len(rows)), np.int64)
-        for k, s in enumerate(window):
-            by_time[: len(s), k] = s
+        length = int(lens[0])
         alive = np.searchsorted(-lens, -np.arange(length))
-        flat = np.concatenate([by_time[t, :n] for t, n in enumerate(alive)])
+        by_time = np.zeros((len(rows), length), np.int64)
+        by_time[np.arange(length) < lens[:, None]] = np.concatenate(window)
+        flat = by_time.T[(np.arange(length) < lens[:, None]).T]
         ends, m, n_all = np.cumsum(alive).tolist(), HIDDEN, len(flat)
         inputs, u = _inputs(w, flat), _recurrent(w)
-        states, kept = np.empty((n_all, m), np.float32), np.empty((n_all, 4 * m), np.float32)
+        states, kept = np.empty((n_all, m), np.float32), np.empty((3, n_all, m), np.float32)
         state = h[rows]
         for n, b in zip(alive.tolist(), ends, strict=True):
             a = b - n
             states[a:b] = state[:n]
-            state[:n] = _step(u, state[:n], inputs[a:b], kept[a:b])
+            _step(u, state[:n], inputs[:, a:b], kept[:, a:b], state[:n])
         h[rows] = state
         grad = {k: np.zeros_like(x) for k, x in w.items() if k != "g"}
         dflat = _outputs(w, states, flat, classes, grad)
-        z, r, past, c = (kept[:, i * m : (i + 1) * m] for i in range(4))
-        by_z, by_a = (states - c) * z * (1 - z), (1 - z) * (1 - c * c)
-        by_r = past * r * (1 - r)
-        dg, dhu, back = np.empty((n_all, 3 * m), np.float32), np.empty((n_all, 3 * m), np.float32), w["u"].T.copy()
-        dh = np.zeros((len(rows), m), np.float32)
+        z, r, past, c = *kept, inputs[2]
+        # what a state's gradient is multiplied by for the update gate, the reset gate, what that weighs, and the candidate
+        by = np.empty((4, n_all, m), np.float32)
+        rest = 1 - z
+        np.multiply((states - c) * z, rest, out=by[0])
+        np.multiply(rest, 1 - c * c, out=by[3])
+        np.multiply(by[3], r, out=by[2])
+        np.multiply(by[2], past * (1 - r), out=by[1])
+        back = np.ascontiguousarray(w["u"].reshape(m, 3, m).transpose(1, 2, 0))
+        dh, through = np.zeros((len(rows), m), np.float32), np.empty((3, len(rows), m), np.float32)
         for n, b in zip(alive.tolist()[::-1], ends[::-1], strict=True):
             a = b - n
-            d, g, hu = dh[:n], dg[a:b], dhu[a:b]
-            np.multiply(d, by_z[a:b], out=g[:, :m])
-            np.multiply(d, by_a[a:b], out=g[:, 2 * m :])
-            np.multiply(g[:, 2 * m :], by_r[a:b], out=g[:, m : 2 * m])
-            hu[:, : 2 * m] = g[:, : 2 * m]
-            np.multiply(g[:, 2 * m :], r[a:b], out=hu[:, 2 * m :])
+            d, g = dh[:n], by[:, a:b]
+            g *= d
             d *= z[a:b]
-            d += hu @ back
+            for x in np.matmul(g[:3], back, out=through[:, :n]):
+                d += x
             d += dflat[a:b]
-        grad["u"] += states.T @ dhu
-        read += len(flat)
+        grad["u"] += np.concatenate(np.matmul(states.T, by[:3]), axis=1)
+        read += n_all
         # only the inputs that occur have a gradient
         order = np.argsort(flat.astype(np.int16), kind="stable")
-        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        own = flat[order[starts]]
-        g = np.add.reduceat(dg[order], starts) / np.float32(len(flat))
-        square["g"][own] += g * g
-        w["g"][own] -= rate * g / np.sqrt(square["g"][own])
+        own = flat.take(order)
+        starts = _starts(own)
+        own = own[starts]
+        g = np.add.reduceat(np.concatenate([by[i].take(order, axis=0) for i in (0, 1, 3)], axis=1), starts)
+        g /= np.float32(n_all)
+        seen = square["g"].take(own, axis=0)
+        seen += g * g
+        square["g"][own] = seen
+        g /= np.sqrt(seen, out=seen)
+        g *= rate
+        w["g"][own] = w["g"].take(own, axis=0) - g
         for k, g in grad.items():
-            g /= len(flat)
+            g /= n_all
             square[k] += g * g
-            w[k] -= rate * g / np.sqrt(square[k])
+            g /= np.sqrt(square[k])
+            g *= rate
+            w[k] -= g
 
 
 def score_batch(w: dict, ids: list[np.ndarray], classes: int) -> np.ndarray:
@@ -299,7 +348,7 @@ def score_batch(w: dict, ids: list[np.ndarray], classes: int) -> np.ndarray:
     longest = int(lens[0])
     alive = np.searchsorted(-lens, -np.arange(longest), side="left")
     h, t = np.zeros((len(order), HIDDEN), np.float32), 0
-    u = _recurrent(w)
+    u, hu = _recurrent(w), np.empty((3, len(order), HIDDEN), np.float32)
     while t < longest:
         first, left = t, OUTPUTS
         while t < longest and left > 0:
@@ -312,7 +361,7 @@ def score_batch(w: dict, ids: list[np.ndarray], classes: int) -> np.ndarray:
         for n in live:
             h = h[:n]
             states[b : b + n] = h
-            h = _step(u, h, inputs[b : b + n])
+            _step(u, h, inputs[:, b : b + n], hu[:, :n], h)
             b += n
         lp = _outputs(w, states, x, classes)
         total[order] += np.bincount(owner, weights=lp, minlength=len(order))
@@ -337,7 +386,7 @@ class Reader:
         other = words.take(pa.array(rare)).dictionary_encode()
         code, names = np.asarray(other.indices, np.int64), other.dictionary
         if len(rare):
-            x[rare] = np.array([VOCABULARY + shape(w) for w in names.cast(pa.large_binary()).to_pylist()], np.int32)[code]
+            x[rare] = (VOCABULARY + shapes(names))[code]
         owner = np.repeat(np.arange(len(n)), n)
         place, ends = np.arange(len(x)) + owner, np.cumsum(n + 1) - 1
         out, where = np.full(len(x) + len(n), self.end_number, np.int32), np.full(len(x) + len(n), self.end, np.int64)

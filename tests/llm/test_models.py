@@ -444,6 +444,67 @@ def test_gradients_of_the_language_model():
         a[at] = old
 
 
+def plain_language_model(w, classes, ids):
+    """log P of each input of one document, step by step."""
+    w = {k: x.astype(np.float64) for k, x in w.items()}
+    n, h, out = lm.HIDDEN, np.zeros(lm.HIDDEN), []
+    logistic = lambda y: 1 / (1 + np.exp(-y))
+    log_softmax = lambda y: y - y.max() - math.log(np.exp(y - y.max()).sum())
+    for x in ids:
+        k = x // lm.CLASS if x < lm.VOCABULARY else classes + x - lm.VOCABULARY
+        lp = log_softmax(h @ w["wc"] + w["bc"])[k]
+        if x < lm.VOCABULARY:
+            own = slice(k * lm.CLASS, (k + 1) * lm.CLASS)
+            lp += log_softmax(w["wo"][own] @ h + w["bo"][own])[x % lm.CLASS]
+        out.append(lp)
+        g, hu = w["g"][x], h @ w["u"]
+        z, r = logistic(g[:n] + hu[:n]), logistic(g[n : 2 * n] + hu[n : 2 * n])
+        h = z * h + (1 - z) * np.tanh(g[2 * n :] + r * hu[2 * n :])
+    return np.array(out)
+
+
+@pytest.mark.parametrize(("block", "scale"), [(3, 1), (1024, 1), (7, 400)])
+def test_language_model_against_a_plain_one(monkeypatch, block, scale):
+    """Scores, and one step of training by numeric derivatives, in blocks of any size and with weights of any size."""
+    monkeypatch.setattr(lm, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}".encode() for i in range(200)] + [lm.END]
+    v = lm.Vocabulary([(w, lm.shape(w), 10) for w in words], {"total": 2010, "distinct": 201}, {lm.shape(w): (2010, 201) for w in words})
+    w = lm.start_weights(v)
+    w["wo"], w["wc"] = w["wo"] * 30 * scale, w["wc"] * 30
+    docs = [rng.choice([*range(200), lm.VOCABULARY + 2, lm.VOCABULARY + 5], n).astype(np.int32) for n in (1, 20, 31, 9)]
+    want = [plain_language_model(w, v.classes, d).sum() for d in docs]
+    assert np.allclose(lm.score_batch(w, docs, v.classes), want, rtol=1e-4)
+    if scale > 1:
+        return
+    loss = lambda w: -sum(plain_language_model(w, v.classes, d).sum() for d in docs) / sum(map(len, docs))
+    moved = {k: x.copy() for k, x in w.items()}
+    assert lm.train(moved, iter(docs), v.classes, 1.0) == sum(map(len, docs))
+    for k, at in (("g", (docs[1][3], 2)), ("g", (docs[2][5], 20)), ("g", (docs[3][1], 40)), ("u", (1, 3)), ("u", (4, 19)), ("u", (7, 41)), ("wc", (2, 1)), ("wo", (docs[1][2] % 200, 3)), ("bc", (v.classes + 2,)), ("bo", (5,))):
+        up, down = ({**w, k: w[k].astype(np.float64)} for _ in range(2))
+        up[k][at] += 1e-4
+        down[k][at] -= 1e-4
+        g = (loss(up) - loss(down)) / 2e-4
+        assert abs((w[k][at] - moved[k][at]) - g / math.sqrt(1e-6 + g * g)) < 2e-3, (k, at)
+
+
+def test_shapes_of_columns_are_those_of_words(monkeypatch):
+    """Words are classed by whole columns, without a call for each ASCII word."""
+    rng, one = random.Random(16), lm.shape
+    words = ["".join(rng.choice("abz09.,;:!?\"'()-#_~\x00\x1céßñ中") for _ in range(rng.randint(0, 6))).encode() for _ in range(4000)] + [b"", b"\xff\xfe", b"a\xff", b"\xe2\xc3\xa4"]
+    want = list(map(one, words))
+
+    def shape(word):
+        assert not word.isascii()
+        return one(word)
+
+    monkeypatch.setattr(lm, "shape", shape)
+    v = lm.Vocabulary([(lm.END, 5, 1)], {"total": 1, "distinct": 1}, {5: (1, 1)})
+    assert list(lm.Reader(v)(pa.array(["x9 word. # one (a) größe"]))[0] - lm.VOCABULARY)[:-1] == [one(x.encode()) for x in "x9 word. # one (a) größe".split()]
+    for column in (pa.array(words, pa.binary()), pa.array(words, pa.large_binary())):
+        assert list(lm.shapes(column)) == want and list(lm.shapes(column.slice(17, 300))) == want[17:317] and len(lm.shapes(column[:0])) == 0
+
+
 def test_shingles_of_many_texts_are_those_of_each():
     rng = random.Random(15)
     texts = ["".join(rng.choice(["A ", "b ", "É", "c d e f ", " ", "\n", "x y z x y z "]) for _ in range(rng.randint(0, 14))) for _ in range(2500)] + [None, "", "one"]
